@@ -2,24 +2,57 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import avi, fingerprints, mixing, pii, secrets, toxicity, warc
 from .common import table, text_of
 from .jaccard_join import jaccard_components
 from .line_dedup import dedup_lines
 from .packing import pack
 
 
-def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_edits(table(spark, sf_dir, "documents"))
+
+
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
+
+
+def op5_media_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return avi.digest(table(spark, sf_dir, "documents"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score_toxicity(docs, table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "rate", "copies")
+
+
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = warc.derive(warc.responses(table(spark, sf_dir, "pages")))
+    return made.select("page_id", "record_type", "record_id", "refers_to", "target_uri", "content_type", "payload_digest", "block_digest", F.sha2("record", 256).alias("record_sha256"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = dedup_lines(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(text_of(kept), 256).alias("kept_sha256"))
@@ -40,5 +73,17 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
 FROM marked GROUP BY doc_id
 """
 
-QUERIES = {"op2_packing": op2_packing, "op4_ngram_jaccard": op4_ngram_jaccard, "op10_line_dedup": op10_line_dedup}
+QUERIES = {
+    "op1_pii": op1_pii,
+    "op2_packing": op2_packing,
+    "op3_fingerprints": op3_fingerprints,
+    "op4_ngram_jaccard": op4_ngram_jaccard,
+    "op5_media_clips": op5_media_clips,
+    "op6_toxicity": op6_toxicity,
+    "op7_mixing": op7_mixing,
+    "op8_secrets": op8_secrets,
+    "op9_warc": op9_warc,
+    "op10_line_dedup": op10_line_dedup,
+    "pipeline": corpus_pipeline.run,
+}
 SQL: dict[str, str] = {"op10_line_dedup": OP10_SQL}
