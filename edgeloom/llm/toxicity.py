@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import text_of
+from .textops import mix
 
 SAMPLE = 3_000
 BUCKETS, DIMENSIONS, EPOCHS, RATES, DOUBT, LEAST = 1 << 17, 4, 30, (20.0, 0.1, 0.1), 3.0, 5
@@ -41,23 +42,30 @@ def words(text: str) -> set[str]:
     return set(_WORD.findall(text.lower()))
 
 
-def buckets(word: str) -> list[int]:
-    marked = f"<{word}>"
-    low, high = GRAMS
-    grams = {marked[i : i + n] for n in range(low, high + 1) for i in range(len(marked) - n + 1)} | {marked}
-    return sorted({zlib.crc32(g.encode()) % BUCKETS for g in grams})
+def grams(listed: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(place of the word, bucket) of all character n-grams of the words, each with marks at its ends."""
+    marked = [f"<{w}>" for w in listed]
+    sizes = np.fromiter(map(len, marked), np.int64, len(marked))
+    code = np.frombuffer("".join(marked).encode("utf-32-le"), "<u4").astype(np.uint64)
+    owner, end = np.repeat(np.arange(len(marked)), sizes), np.repeat(np.cumsum(sizes), sizes)
+    value, owners, found = np.zeros(len(code), np.uint64), [], []
+    for n in range(1, min(GRAMS[1], len(code)) + 1):
+        value = value[: len(code) - n + 1] * np.uint64(0x100000001B3) + code[n - 1 :]
+        if n >= GRAMS[0]:
+            inside = np.arange(len(value)) + n <= end[: len(value)]
+            owners.append(owner[: len(value)][inside])
+            found.append((mix(value[inside] + np.uint64(n)) % np.uint64(BUCKETS)).astype(np.int64))
+    return (np.concatenate(owners), np.concatenate(found)) if owners else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
 class _Mean:
-    """A sparse matrix of row means over lists of columns, applied forwards and backwards; negative columns count in a mean as zeros."""
+    """A sparse matrix of row means, applied forwards and backwards; negative columns count in a mean as zeros."""
 
-    def __init__(self, lists: list[np.ndarray], width: int):
-        sizes = np.array([len(x) for x in lists], np.int64)
-        column = np.concatenate(lists) if lists else np.zeros(0, np.int64)
-        row = np.repeat(np.arange(len(lists)), sizes)
+    def __init__(self, row: np.ndarray, column: np.ndarray, rows: int, columns: int):
+        size = np.maximum(1, np.bincount(row, minlength=rows))
         known = column >= 0
-        self.row, self.column, self.weight = row[known], column[known], (1.0 / np.maximum(1, sizes))[row[known]]
-        self.shape = (len(lists), width)
+        self.row, self.column, self.weight = row[known], column[known], 1.0 / size[row[known]]
+        self.shape = (rows, columns)
 
     def forward(self, x: np.ndarray) -> np.ndarray:
         return np.stack([np.bincount(self.row, self.weight * x[self.column, d], self.shape[0]) for d in range(x.shape[1])], 1)
@@ -75,23 +83,25 @@ def fit(texts: list[str], labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, f
     """
     bags = [sorted(words(t)) for t in texts]
     vocabulary = {w: k for k, w in enumerate(sorted({w for b in bags for w in b}))}
-    grams = [np.array(buckets(w)) for w in vocabulary]
-    texts_of = np.zeros(BUCKETS, np.int64)
-    for b in bags:
-        if b:
-            texts_of[np.unique(np.concatenate([grams[vocabulary[w]] for w in b]))] += 1
-    used = np.flatnonzero(texts_of >= LEAST)
+    size = np.fromiter(map(len, bags), np.int64, len(bags))
+    text_of_word = np.repeat(np.arange(len(bags)), size)
+    word = np.fromiter((vocabulary[w] for b in bags for w in b), np.int64, int(size.sum()))
+    owner, bucket = grams(list(vocabulary))
+    # in how many words of texts an n-gram stands
+    used = np.flatnonzero(np.bincount(bucket, np.bincount(word, minlength=len(vocabulary))[owner], BUCKETS) >= LEAST)
     place = np.full(BUCKETS, -1)
     place[used] = np.arange(len(used))
-    spelled = [place[g] for g in grams]
-    seen = np.array([(g >= 0).any() for g in spelled], bool)
-    number = np.where(seen, np.cumsum(seen) - 1, -1)
-    spelled = _Mean([g for g, s in zip(spelled, seen, strict=True) if s], len(used))
+    spelled = _Mean(owner, place[bucket], len(vocabulary), len(used))
     left = np.array([zlib.crc32(t.encode()) % 5 == 0 for t in texts])
     kept = [np.flatnonzero(~left), np.flatnonzero(left)]
     if len(set(labels[kept[0]].tolist())) < 2 or len(set(labels[kept[1]].tolist())) < 2:
         kept = [np.arange(len(texts))] * 2
-    held = [_Mean([number[[vocabulary[w] for w in bags[k]]] if bags[k] else np.zeros(0, np.int64) for k in part], int(seen.sum())) for part in kept]
+    held = []
+    for part in kept:
+        at = np.full(len(texts), -1)
+        at[part] = np.arange(len(part))
+        own = at[text_of_word] >= 0
+        held.append(_Mean(at[text_of_word[own]], word[own], len(part), len(vocabulary)))
     y, y_left = (labels[part] for part in kept)
     draw = np.random.default_rng(7)
     parameters = [draw.normal(0, 0.001, (len(used), DIMENSIONS)), draw.normal(0, 0.5, (DIMENSIONS, 2)), np.zeros(2)]
@@ -182,26 +192,25 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float, float]) -> DataFrame:
     names = [c for c in docs.columns if c != "__text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = sent.value
+        table = sent.value.astype(np.float64)
         memo: dict[str, float] = {}
 
-        def logit(word: str) -> float:
-            if len(memo) >= MEMO:
+        def scored(texts: list[str]) -> list[float]:
+            bags = [words(t) if trained else set() for t in texts]
+            if len(memo) > MEMO:
                 memo.clear()
-            found = memo[word] = float(table[buckets(word)].mean())
-            return found
+            new = list(set().union(*bags).difference(memo))
+            if new:
+                owner, bucket = grams(new)
+                n = np.bincount(owner, minlength=len(new))
+                memo.update(zip(new, (np.bincount(owner, table[bucket], len(new)) / np.maximum(1, n)).tolist(), strict=True))
+            logits = [start + math.fsum(map(memo.__getitem__, b)) / len(b) if b else prior for b in bags]
+            return [1 / (1 + math.exp(-max(-30.0, min(30.0, x)))) for x in logits]
 
-        known = memo.get
         for batch in batches:
-            scores = []
-            for text in batch.column("__text"):
-                bag = words(text.as_py()) if trained else ()
-                total = 0.0
-                for w in bag:
-                    value = known(w)
-                    total += logit(w) if value is None else value
-                x = start + total / len(bag) if bag else prior
-                scores.append(1 / (1 + math.exp(-max(-30.0, min(30.0, x)))))
+            scores: list[float] = []
+            for at in range(0, batch.num_rows, 100):
+                scores += scored(batch.column("__text").slice(at, 100).to_pylist())
             columns = [batch.column(c) for c in names] + [pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())]
             yield pa.RecordBatch.from_arrays(columns, names=[*names, "score", "predicted"])
 
