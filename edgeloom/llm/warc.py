@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 _NAMES = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # fixed value: the name space of URLs (RFC 4122)
 DATE = "2024-01-01T00:00:00Z"
-_HIDDEN = re.compile(r"<!--.*?-->|<(script|style|noscript|template|head)\b[^>]*>.*?</\1\s*>", re.S | re.I)
+_HIDDEN = re.compile(r"<!--.*?-->|<(script|style|noscript|template|head|title)\b[^>]*>.*?</\1\s*>", re.S | re.I)
 _BREAK = re.compile(r"<(?:br|/?(?:p|div|li|ul|ol|tr|table|h[1-6]|section|article|nav|header|footer|main|blockquote|pre|title))\b[^>]*>", re.I)
 _TAG = re.compile(r"<[^<>]*>")
 _TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
