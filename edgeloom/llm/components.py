@@ -21,6 +21,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     Each round keeps connectivity; the stars of the last round are the answer. Self links count as a node only; null ends are ignored.
     """
+    edges = written(edges.select("u", "v"), "links")  # read twice, computed once
     nodes = edges.select(F.col("u").alias("id")).union(edges.select(F.col("v").alias("id"))).filter("id IS NOT NULL")
     now = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), "edges")
     before = None
