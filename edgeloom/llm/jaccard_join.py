@@ -2,12 +2,13 @@
 
 1. A map over whole texts gives each document's set of k-word shingles (64-bit hashes) and its candidate tokens. Documents
    with equal sets become one class, which its smallest doc_id represents.
-2. Global order of tokens: first those with a hash below POOL of the hash range, by document frequency and hash, then all
+2. Global order of tokens: first those with a hash below pool_share of the hash range, by document frequency and hash, then all
    others by hash. Two sets as similar as the threshold share a token among the first n - ceil(threshold * n) + 1 of each
    (prefix filter), so representatives are joined into blocks by the rare tokens of their prefixes.
 3. Inside a block, sets go into a prefix tree; queries walk it level by level with the overlap that a path shares,
    and leave subtrees whose remaining lengths can't reach the threshold. A block over CELL tokens is dealt out as pairs of its parts,
-   so no task holds an unbounded block. Sets that one vectorised pass links to the block's centre need no walk of their own.
+   so no task holds an unbounded block. Some sets of a block, its centre first, are asked by one vectorised pass
+   each; sets that reach the centre by then need no walk of their own.
 4. Components of the links, by distributed star steps.
 
 Sets without shingles link with nothing. Rows of one doc_id are separate nodes; a null doc_id has a null component.
@@ -28,10 +29,15 @@ from .common import text_of, written
 from .components import components
 from .textops import chunks, lists, mix, shingle_sets
 
-#: Share of the hash range whose tokens have their document frequency counted.
-POOL = 0.2
 #: Tokens in one task's prefix tree.
-CELL = 1_500_000
+CELL = 500_000
+#: Sets of a block that one vectorised pass each asks before the tree is walked.
+PASSES = 100
+
+
+def pool_share(num: int, den: int) -> float:
+    """Share of the hash range whose tokens have their document frequency counted: twice that of a prefix, so that most prefixes lie inside it."""
+    return min(0.45, 2 * (den - num) / den)
 
 
 def prefix_length(n, num: int, den: int):
@@ -42,7 +48,7 @@ def _sketch(k: int, num: int, den: int):
     """Mapper: set size, two sums that identify the set, prefix length, size of the pool part, candidate tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        limit = np.uint64(int(POOL * 2**64))
+        limit = np.uint64(int(pool_share(num, den) * 2**64))
         for batch in batches:
             for at, to, data, offsets in chunks(batch, "text"):
                 starts, value = shingle_sets(data, offsets, k)
@@ -87,13 +93,19 @@ class _Forest:
             x = int(self.up[x])
         return x
 
+    def roots(self) -> np.ndarray:
+        found = self.up
+        while (found != (found := self.up[found])).any():
+            pass
+        return found
+
     def link(self, a: int, b: int) -> None:
         a, b = self.root(a), self.root(b)
         if a != b:
             self.up[max(a, b)] = min(a, b)
 
 
-def trie_links(block: np.ndarray, starts: np.ndarray, value: np.ndarray, num: int, den: int, pairs: int = 1 << 21) -> np.ndarray:
+def trie_links(block: np.ndarray, starts: np.ndarray, value: np.ndarray, num: int, den: int, pairs: int = 1 << 20) -> np.ndarray:
     """Position of the smallest member that each set reaches over links within its block.
 
     block: ids of the sets' blocks, 0.. and ascending; starts: len(block) + 1 offsets into value, the distinct tokens of each set.
@@ -121,27 +133,49 @@ def trie_links(block: np.ndarray, starts: np.ndarray, value: np.ndarray, num: in
     first = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
     by = np.lexsort((-score, block))
     centre = by[first]
-    central = np.zeros(len(frequency), bool)
-    for c in centre:
-        central[token[starts[c] : starts[c + 1]]] = True
-    shared = np.add.reduceat(central[token].astype(np.int64), starts[:-1])
-    middle = centre[np.searchsorted(first, np.arange(m), "right") - 1]
-    linked = den * shared >= num * (n + n[middle] - shared)
-    linked[centre] = True
-    for x in np.flatnonzero(linked):
-        forest.link(int(x), int(middle[x]))
-    rest = np.flatnonzero(~linked)
-    if len(rest):
-        at = np.searchsorted(first, rest, "right") - 1
-        several = np.diff(np.r_[first, m])[at] > 2  # of two sets, the centre has met the other
-        rest = rest[several]
+    home = np.searchsorted(first, np.arange(m), "right") - 1
+    middle, asked = centre[home], np.zeros(m, bool)
+
+    def meet(chosen: np.ndarray) -> None:
+        """Links all sets to the chosen set of their block, at most one a block: a whole query of it in one pass."""
+        central = np.zeros(len(frequency), bool)
+        for c in chosen:
+            central[token[starts[c] : starts[c + 1]]] = True
+        other = np.full(len(first), -1)
+        other[home[chosen]] = chosen
+        mine = other[home]
+        shared = np.add.reduceat(central[token].astype(np.int64), starts[:-1])
+        hit = (mine >= 0) & (den * shared >= num * (n + n[mine] - shared))
+        root = forest.roots()
+        for x in np.flatnonzero(hit & (root != root[mine])):
+            forest.link(int(x), int(mine[x]))
+        asked[chosen] = True
+
+    def apart() -> np.ndarray:
+        """Sets that are not known to reach their block's centre and have not been asked; a link between two sets is found from either."""
+        root = forest.roots()
+        return np.flatnonzero((root != root[middle]) & ~asked)
+
+    meet(centre)
+    rest = apart()
+    for k in range(PASSES):
+        if not len(rest):
+            break
+        blocks, at = np.unique(home[rest], return_index=True)
+        if k % 2:
+            meet(rest[at])
+        else:  # another set that reaches the centre: it may link what the centre does not
+            begin, end = first[blocks], np.r_[first, m][blocks + 1]
+            pick = begin + (k * 7919 + 1) % (end - begin)
+            meet(pick[~asked[pick]])
+        rest = apart()
     if len(rest):
         needed = np.isin(block, block[rest])
-        _walk(np.flatnonzero(needed), rest, block, starts, n, token, len(frequency), num, den, forest, pairs)
-    return np.fromiter((forest.root(x) for x in range(m)), np.int64, m)
+        _walk(np.flatnonzero(needed), rest, middle, block, starts, n, token, len(frequency), num, den, forest, pairs)
+    return forest.roots()
 
 
-def _walk(members, queries, block, starts, n, token, vocabulary, num, den, forest, pairs) -> None:
+def _walk(members, queries, middle, block, starts, n, token, vocabulary, num, den, forest, pairs) -> None:
     """Builds the prefix tree of the members level by level and walks it with all queries."""
     roots, node = np.unique(block[members], return_inverse=True)
     levels, width = [], len(roots)
@@ -163,8 +197,8 @@ def _walk(members, queries, block, starts, n, token, vocabulary, num, den, fores
         levels.append((key % vocabulary, np.searchsorted(parent, np.arange(width + 1)), longest, shortest, sets[done], np.searchsorted(child[done], np.arange(len(key) + 1))))
         node, width, depth = child, len(key), depth + 1
     spread = max(1, int(pairs // max(1, max(len(x[0]) for x in levels))))
-    for at in range(0, len(queries), spread):
-        q = queries[at : at + spread]
+    while len(queries):
+        q, queries = queries[:spread], queries[spread:]
         lengths = n[q]
         begins = np.r_[0, np.cumsum(lengths)]
         index = np.repeat(starts[q] - begins[:-1], lengths) + np.arange(begins[-1])
@@ -192,6 +226,8 @@ def _walk(members, queries, block, starts, n, token, vocabulary, num, den, fores
                 for x, y in zip(q[asks[good]], other[good], strict=True):
                     if forest.up[x] != forest.up[y]:
                         forest.link(int(x), int(y))
+        # a set that by now reaches the centre has no link that a set apart would not find itself
+        queries = np.array([x for x in queries if forest.root(int(x)) != forest.root(int(middle[x]))], np.int64)
 
 
 def _cell(num: int, den: int):
@@ -219,14 +255,15 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     sketch = written(base.mapInArrow(_sketch(k, num, den), "doc_id long, n long, s1 long, s2 long, p long, pool long, tokens array<long>"), "sketch")
     classes = written(sketch.filter("n > 0 AND doc_id IS NOT NULL").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep")), "classes")
     reps = sketch.filter("n > 0").join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    postings = reps.select("doc_id", "n", "p", "pool", F.explode("tokens").alias("token"))
-    inside = f"(token >= 0 AND token < {int(POOL * 2**64)})"  # below POOL of the unsigned range, as POOL is under a half
+    postings = reps.select("doc_id", F.explode("tokens").alias("token"))
+    inside = f"(token >= 0 AND token < {int(pool_share(num, den) * 2**64)})"  # the share of the unsigned range is under a half
     counted = postings.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
-    shared = postings.join(counted, "token").select("doc_id", "p", "pool", "token", F.when(F.expr(inside), F.col("df")).otherwise(F.lit(None)).alias("df"))
+    shared = postings.join(counted, "token").select("doc_id", "token", F.when(F.expr(inside), F.col("df")).otherwise(F.lit(None)).alias("df"))
+    shared = shared.join(reps.select("doc_id", "p", "pool"), "doc_id")
     # of a document's pool tokens, those that no other document has come first; they take `own` places of the prefix
     seen = W.partitionBy("doc_id")
     ranked = shared.withColumn("own", F.col("pool") - F.count("df").over(seen)).withColumn("place", F.row_number().over(seen.orderBy(F.col("df").asc_nulls_last(), "token")))
-    prefix = written(ranked.filter("pool < p OR (df IS NOT NULL AND place + own <= p)").select("doc_id", "token"), "prefix")
+    prefix = written(ranked.filter("place + own <= p").select("doc_id", "token"), "prefix")
     least = prefix.groupBy("token").agg(F.min("doc_id").alias("v"), F.max("doc_id").alias("w")).filter("v < w")
     blocks = components(prefix.join(least, "token").select(F.col("doc_id").alias("u"), "v").distinct())
     sized = blocks.join(sketch.select(F.col("doc_id").alias("id"), "n"), "id").groupBy("component").agg(F.sum("n").alias("weight"))
