@@ -103,3 +103,84 @@ def overlap_tail(shared: int, first: int, second: int, total: int) -> float:
     if top == -math.inf:
         return -math.log10(np.finfo(float).tiny)
     return min(-(top + math.log(sum(math.exp(t - top) for t in terms))) / math.log(10), -math.log10(np.finfo(float).tiny)) + 0.0
+
+
+def critical_distance(p: float, n: int) -> int:
+    """The largest D that selects an untied pair of n ranks: two-sided p-value of min(D, n3 - D) below p; -1 if none. The p-value grows with D."""
+    whole = (n**3 - n) // 3
+    low, high = -1, whole // 2
+    while low < high:
+        middle = (low + high + 1) // 2
+        if min(1.0, 2 * spearman_p(whole - middle, n)) < p:
+            low = middle
+        else:
+            high = middle - 1
+    return low
+
+
+def rank_selection(distances: DataFrame, p: float, n: int) -> DataFrame:
+    """distances (distance, rho, edge_ties, y_ties) with `selected`: the rank-distance test for untied pairs, Student's t for others."""
+    nearest = F.least(F.col("distance"), F.lit(float((n**3 - n) // 3)) - F.col("distance"))
+    untied = (F.col("edge_ties") == 0) & (F.col("y_ties") == 0)
+    return distances.withColumn("selected", F.when(untied, F.round(nearest) <= critical_distance(p, n)).otherwise(F.abs("rho") > critical_r(p, n - 2)))
+
+
+def bias_corrected(replicates: DataFrame, point: DataFrame, jackknife: DataFrame, by: list[str]) -> DataFrame:
+    """(by..., r, low, high, bca_low, bca_high): 95 % percentile and bias-corrected accelerated intervals.
+
+    replicates (by..., r), point (by..., r), jackknife (by..., r). Sums are aggregates; only normal tails of one row a group are computed in numpy.
+    """
+    observed = point.select(*by, F.col("r").alias("point"))
+    share = replicates.join(observed, by).groupBy(*by).agg(F.avg((F.col("r") < F.col("point")).cast("double")).alias("below"))
+    gap = F.avg("r").over(W.partitionBy(*by)) - F.col("r")
+    sums = jackknife.withColumn("gap", gap).groupBy(*by).agg(F.sum(F.col("gap") ** 3).alias("cubes"), F.sum(F.col("gap") ** 2).alias("squares"))
+    summary = observed.join(share, by).join(sums, by)
+
+    def shares(frames):
+        from statistics import NormalDist
+
+        normal, eps = NormalDist(), float(np.finfo(float).eps)
+        for f in frames:
+            for column, z in (("low_share", normal.inv_cdf(0.025)), ("high_share", normal.inv_cdf(0.975))):
+                found = []
+                for below, cubes, squares in zip(f["below"], f["cubes"], f["squares"], strict=True):
+                    if not 0 < below < 1:  # all replicates on one side: z0 is infinite
+                        found.append(float(below))
+                        continue
+                    z0, a = normal.inv_cdf(below), cubes / (6 * max(squares**1.5, eps))
+                    found.append(normal.cdf(z0 + (z0 + z) / (1 - a * (z0 + z))))
+                f[column] = found
+            yield f.drop(columns=["below", "cubes", "squares"])
+
+    keys = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in summary.schema.fields if f.name in by)
+    asked = summary.mapInPandas(shares, f"{keys}, point double, low_share double, high_share double")
+    group = W.partitionBy(*by)
+    ranked = replicates.filter("r IS NOT NULL").withColumns({"__i": F.row_number().over(group.orderBy("r")), "__n": F.count("*").over(group)}).join(asked, by)
+
+    def at(name: str, share) -> Column:
+        place = F.least(F.greatest(F.col("__n") * share + 0.5, F.lit(1.0)), F.col("__n").cast("double"))
+        weight = F.greatest(F.lit(0.0), 1 - F.abs(F.col("__i") - place))
+        return F.sum(F.when(weight > 0, weight * F.col("r"))).alias(name)
+
+    ends = {"low": F.lit(0.025), "high": F.lit(0.975), "bca_low": F.col("low_share"), "bca_high": F.col("high_share")}
+    return ranked.groupBy(*by, F.col("point").alias("r")).agg(*(at(name, s) for name, s in ends.items()))
+
+
+def independent_columns(df: DataFrame, columns: list[str]) -> list[str]:
+    """Columns that raise the rank of (1, columns before them), in order. One aggregate gives the Gram matrix; its size is that of the design."""
+    k = len(columns)
+    cells = [F.covar_pop(F.col(columns[i]).cast("double"), F.col(columns[j]).cast("double")).alias(f"c{i}_{j}") for i in range(k) for j in range(i + 1)]
+    row = df.agg(*cells).first()
+    gram = np.zeros((k, k))
+    for i in range(k):
+        for j in range(i + 1):
+            gram[i, j] = gram[j, i] = row[f"c{i}_{j}"] or 0.0
+    kept: list[int] = []
+    for i in range(k):
+        left = gram[i, i]
+        if kept:
+            part = gram[np.ix_(kept, kept)]
+            left -= gram[i, kept] @ np.linalg.solve(part, gram[kept, i])
+        if left > 1e-10 * max(gram[i, i], np.finfo(float).tiny):
+            kept.append(i)
+    return [columns[i] for i in kept]

@@ -62,3 +62,22 @@ def nested_sample(strata: DataFrame, sizes: list[int], repetitions: int, seed: i
         part = quotas(strata, size).select("study_id", "quota").withColumn("size", F.lit(size))
         every = part if every is None else every.unionByName(part)
     return ranked.join(every, "study_id").filter("place <= quota").select("rep", "size", "subject_row", "study_id")
+
+
+def partitions(subjects: DataFrame, k: int, first_seed: int, last_seed: int) -> DataFrame:
+    """(seed, subject_row, fold): one partition into folds for each seed; a seed's folds are those of `folds`."""
+    every = subjects.select("subject_row", F.explode(F.sequence(F.lit(first_seed), F.lit(last_seed))).alias("seed"))
+    order = W.partitionBy("seed").orderBy(draw("cv", F.col("seed").cast("string"), F.col("subject_row").cast("string")), "subject_row")
+    return every.select("seed", "subject_row", ((F.row_number().over(order) - 1) % k).cast("int").alias("fold"))
+
+
+def freedman_lane(outcomes: DataFrame, permuted: DataFrame, covariate: str, by: list[str]) -> DataFrame:
+    """(by..., iter, subject_row, y): values fitted on the covariate plus permuted residuals; outcomes share the order of `permuted`.
+
+    outcomes: (by..., subject_row, covariate, y). An outcome measured in part of the subjects needs an order that keeps to that part.
+    """
+    fit = outcomes.groupBy(*by).agg(F.avg("y").alias("my"), F.avg(covariate).alias("mc"), F.coalesce(F.try_divide(F.covar_pop(covariate, "y"), F.var_pop(covariate)), F.lit(0.0)).alias("slope"))
+    reduced = outcomes.join(fit, by).select(*by, "subject_row", "y", (F.col("my") + F.col("slope") * (F.col(covariate) - F.col("mc"))).alias("fitted"))
+    source = reduced.select(*by, F.col("subject_row").alias("source_row"), (F.col("y") - F.col("fitted")).alias("residual"))
+    here = reduced.select(*by, "subject_row", "fitted")
+    return permuted.select("iter", "subject_row", "source_row").join(source, "source_row").join(here, [*by, "subject_row"]).select(*by, "iter", "subject_row", (F.col("fitted") + F.col("residual")).alias("y"))

@@ -443,12 +443,9 @@ def overlap_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlaps.join(keys.mapInPandas(scored, "shared long, first_size long, second_size long, total int, score double").withColumn("total", F.col("total")), ["shared", "first_size", "second_size", "total"]).select("first", "second", "shared", exact("score").alias("score"))
 
 
-@query("m19_freedman_lane")
+@query("m19_freedman_lane", _engine_sql(5, text="""f AS (SELECT subject_row, y, avg(y) OVER () + covar_pop(age, y) OVER () / var_pop(age) OVER () * (age - avg(age) OVER ()) AS fitted FROM subjects)
+SELECT iter, a.subject_row, round(a.fitted + b.y - b.fitted, 6) + 0.0 AS y FROM perm p JOIN f a ON a.subject_row = p.subject_row JOIN f b ON b.subject_row = p.source_row"""))
 def freedman_lane(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fitted values of y on age plus permuted residuals, by iteration."""
-    s = _subjects(spark, sf_dir)
-    fit = s.agg(F.avg("y").alias("my"), F.avg("age").alias("ma"), F.try_divide(F.covar_pop("age", "y"), F.var_pop("age")).alias("b"))
-    reduced = s.join(F.broadcast(fit)).select("subject_row", (F.col("my") + F.col("b") * (F.col("age") - F.col("ma"))).alias("fitted"), "y").withColumn("residual", F.col("y") - F.col("fitted"))
-    p = plans.permutations(s, 5)
-    source = reduced.select(F.col("subject_row").alias("source_row"), "residual")
-    return p.join(source, "source_row").join(reduced.select("subject_row", "fitted"), "subject_row").select("iter", "subject_row", exact(F.col("fitted") + F.col("residual")).alias("y"))
+    s = _subjects(spark, sf_dir).withColumn("outcome", F.lit("y"))
+    return _rounded(plans.freedman_lane(s, plans.permutations(s, 5), "age", ["outcome"]).drop("outcome"), "y")
