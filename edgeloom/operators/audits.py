@@ -48,3 +48,41 @@ def assert_ok(checks: DataFrame) -> None:
     failed = [r["name"] for r in checks.filter("NOT ok").collect()]  # one row a check
     if failed:
         raise ValueError("failed checks: " + ", ".join(failed))
+
+
+def preferred_file(current: DataFrame, legacy: DataFrame, names: dict[str, str]) -> DataFrame:
+    """(path, sha256, source): the current file of a release where it exists, else its legacy name (names: current to legacy). Raises if both exist and differ.
+
+    Both tables are (path, sha256), as sinks.manifest gives them.
+    """
+    now = current.select("path", F.col("sha256").alias("__now"))
+    old = legacy.replace({v: k for k, v in names.items()}, subset=["path"]).select("path", F.col("sha256").alias("__old"))
+    both = now.join(old, "path", "full")
+    clash = [r["path"] for r in both.filter(F.col("__now") != F.col("__old")).select("path").limit(5).collect()]
+    if clash:
+        raise ValueError("current and legacy files differ: " + ", ".join(clash))
+    return both.select("path", F.coalesce("__now", "__old").alias("sha256"), F.when(F.col("__now").isNotNull(), "current").otherwise("legacy").alias("source"))
+
+
+def owning_directory(sources: DataFrame, records: DataFrame) -> DataFrame:
+    """(source, directory): the nearest folder above a source that holds a run record; NULL without one. sources: (source); records: (directory).
+
+    A source is exploded into its folders, so the lookup is an equi-join and not a join on prefixes.
+    """
+    parts = F.split("source", "/")
+    above = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))
+    found = sources.select("source", F.explode(above).alias("directory")).join(records.select("directory").distinct(), "directory")
+    nearest = found.groupBy("source").agg(F.max_by("directory", F.length("directory")).alias("directory"))
+    return sources.join(nearest, "source", "left").select("source", "directory")
+
+
+def with_q(summary: DataFrame, p: str, by: list[str], order: list[str], tolerance: float = 1e-12) -> DataFrame:
+    """summary with q: derived where the column is missing (old summaries), else checked against the recomputed one."""
+    from ..functions.stats import benjamini_hochberg
+
+    computed = benjamini_hochberg(summary, p, by, order, "__q")
+    if "q" not in summary.columns:
+        return computed.withColumnRenamed("__q", "q")
+    if not computed.filter(~F.coalesce(F.abs(F.col("q") - F.col("__q")) < tolerance, F.lit(False))).isEmpty():
+        raise ValueError("stored q differs from the recomputed one")
+    return summary

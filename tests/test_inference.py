@@ -141,3 +141,22 @@ def test_rank_selection_branches(spark):
     df = spark.createDataFrame(rows, "distance double, rho double, edge_ties double, y_ties double")
     assert [r["selected"] for r in stats.rank_selection(df, p, n).collect()] == [False, True, True, True, False]
     assert math.isfinite(stats.critical_r(p, n - 2))
+
+
+def test_files_and_owners(spark):
+    files = lambda rows: spark.createDataFrame(rows, "path string, sha256 string")
+    got = audits.preferred_file(files([("a", "1"), ("b", "2")]), files([("old_a", "1"), ("old_c", "3")]), {"a": "old_a", "c": "old_c"})
+    assert {tuple(r) for r in got.collect()} == {("a", "1", "current"), ("b", "2", "current"), ("c", "3", "legacy")}
+    with pytest.raises(ValueError, match="differ"):
+        audits.preferred_file(files([("a", "1")]), files([("old_a", "9")]), {"a": "old_a"})
+    owned = audits.owning_directory(spark.createDataFrame([("x/y/z/f",), ("x/q/f",), ("f",)], "source string"), spark.createDataFrame([("x",), ("x/y",)], "directory string"))
+    assert {tuple(r) for r in owned.collect()} == {("x/y/z/f", "x/y"), ("x/q/f", "x"), ("f", None)}
+
+
+def test_stored_q_is_checked(spark):
+    p = spark.createDataFrame([("f", 1, 0.01), ("f", 2, 0.04)], "family string, k int, p double")
+    derived = audits.with_q(p, "p", ["family"], ["k"])
+    assert {r["k"]: r["q"] for r in derived.collect()} == pytest.approx({1: 0.02, 2: 0.04})
+    assert audits.with_q(derived, "p", ["family"], ["k"]).count() == 2
+    with pytest.raises(ValueError, match="q differs"):
+        audits.with_q(derived.withColumn("q", F.lit(0.5)), "p", ["family"], ["k"])
