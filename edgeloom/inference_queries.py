@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .functions import stats
 from .functions.stats import exact
-from .operators import audits, engine, networks, transfer
+from .operators import adjusted, audits, engine, networks, transfer
 from .plans import plans
 from .queries import BASE, FOLDS, P, _engine_sql, _outcome, _rounded, _subjects, _TABLE, SQL, _vectors, kfold_cpm, query
 from .sources import readers
@@ -299,3 +299,13 @@ def display_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = readers.connectome(_vectors(spark, sf_dir)).groupBy("edge_id").agg(exact(F.avg("value")).alias("mean"), F.count_if(F.col("value") > 0).alias("n"), F.count("*").alias("all"))
     clipped = F.least(F.greatest(F.log2(F.greatest("n", F.lit(1)) / (F.col("all") / 2)), F.lit(-0.05)), F.lit(0.05))
     return e.select("edge_id", "mean", F.when(F.col("n") == 0, -9.0).otherwise(exact(clipped)).alias("shown"))
+
+
+@query("m04_adjusted_fold_r", _engine_sql(2, text="""t AS (SELECT o.iter, h.held, e.edge_id, count(*) AS n, corr(e.value, o.y) AS xy, corr(e.value, s.age) AS xa, corr(e.value, s.sex) AS xs, corr(o.y, s.age) AS ya, corr(o.y, s.sex) AS ys, corr(s.sex, s.age) AS sa FROM edges e JOIN outcome o ON o.subject_row = e.subject_row JOIN subjects s ON s.subject_row = e.subject_row JOIN held h ON o.fold <> h.held GROUP BY ALL),
+u AS (SELECT *, (xy - xa * ya) / sqrt((1 - xa * xa) * (1 - ya * ya)) AS pxy, (xs - xa * sa) / sqrt((1 - xa * xa) * (1 - sa * sa)) AS pxs, (ys - ya * sa) / sqrt((1 - ya * ya) * (1 - sa * sa)) AS pys FROM t)
+SELECT iter, held, edge_id, n, 2 AS rank, round((pxy - pxs * pys) / sqrt((1 - pxs * pxs) * (1 - pys * pys)), 6) + 0.0 AS r FROM u"""))
+def adjusted_fold_r(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges and scores adjusted for age and sex in each training part; a third covariate repeats the second and must change nothing."""
+    c = readers.covariates(_vectors(spark, sf_dir)).withColumn("other_sex", 1 - F.col("sex"))
+    found = adjusted.fold_partial_correlations(readers.connectome(_vectors(spark, sf_dir)), _outcome(spark, sf_dir, 2), c, ["age", "sex", "other_sex"])
+    return _rounded(found.withColumnRenamed("fold", "held"), "r")

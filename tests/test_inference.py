@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from edgeloom.functions import stats
-from edgeloom.operators import audits, networks, transfer
+from edgeloom.operators import adjusted, audits, networks, transfer
 from edgeloom.plans import plans
 
 
@@ -160,3 +160,25 @@ def test_stored_q_is_checked(spark):
     assert audits.with_q(derived, "p", ["family"], ["k"]).count() == 2
     with pytest.raises(ValueError, match="q differs"):
         audits.with_q(derived.withColumn("q", F.lit(0.5)), "p", ["family"], ["k"])
+
+
+def test_partial_correlations_equal_residuals(spark):
+    rng = np.random.default_rng(4)
+    n, edges = 40, 3
+    z = np.column_stack([rng.normal(40, 9, n), rng.integers(0, 2, n), np.full(n, 3.0)])
+    x, y, fold = rng.normal(size=(n, edges)) + z[:, :1] / 10, rng.normal(size=n) + z[:, 0] / 20 + z[:, 1], np.arange(n) % 4
+    x[:, 2] = 2 * z[:, 0] - z[:, 1]
+    table = spark.createDataFrame([(i, e, float(x[i, e])) for i in range(n) for e in range(edges)], "subject_row long, edge_id int, value double")
+    outcome = spark.createDataFrame([(1, i, int(fold[i]), float(y[i])) for i in range(n)], "iter int, subject_row long, fold int, y double")
+    covariates = spark.createDataFrame([(i, *map(float, z[i])) for i in range(n)], "subject_row long, age double, sex double, constant double")
+    got = adjusted.fold_partial_correlations(table, outcome, covariates, ["age", "sex", "constant"]).collect()
+    assert len(got) == 4 * edges
+    for row in got:
+        keep = fold != row["fold"]
+        design = np.column_stack([np.ones(keep.sum()), z[keep, :2]])
+        rest = lambda v: v - design @ np.linalg.lstsq(design, v, rcond=None)[0]  # noqa: E731,B023
+        assert (row["n"], row["rank"]) == (30, 2)
+        if row["edge_id"] == 2:
+            assert row["r"] is None
+        else:
+            assert row["r"] == pytest.approx(np.corrcoef(rest(x[keep, row["edge_id"]]), rest(y[keep]))[0, 1], abs=1e-8)
