@@ -27,7 +27,10 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group that five-word shingles link at a similarity of 0.8."""
+    """The document with the smallest doc_id of each group that five-word shingles link at a similarity of 0.8.
+
+    Rows of one doc_id are one document and stand or fall together; rows without words or without a doc_id stay.
+    """
     groups = jaccard_components(docs, k=5, num=80, den=100).select(F.col("doc_id").alias("__id"), "component_id").distinct()
     others = groups.filter("__id <> component_id").select("__id")
     return docs.join(others, docs["doc_id"].cast("long") == others["__id"], "left_anti").select(docs.columns)

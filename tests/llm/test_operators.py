@@ -140,6 +140,32 @@ def test_packing_keeps_every_token(docs, rows, empty):
     assert packing.pack(empty, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).count() == 0
 
 
+def test_cut_texts_have_the_ids_of_whole_texts():
+    import random
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    tokenizer.encode_special_tokens = True
+    encoder = packing.Encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    draw, signs = random.Random(9), "abXYé\u00df\u00c0's't\u0301_09\u00b2\u00bd\u00aa\u00d7 \n\t\x0b\x0c\r\x85\u00a0\u2003\u3000\x1c\x00.,-\u4e2d\u0633\U0001f600"
+    for _ in range(5000):
+        text = "".join(draw.choice(signs) for _ in range(draw.randint(0, 14)))
+        assert encoder.ids(text, (1).to_bytes(4, "little")).tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 1], ascii(text)
+
+
+def test_near_duplicate_stage_keeps_one_document_a_group(spark):
+    import corpus_pipeline
+
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(7, text, "x"), (7, text, "x"), (3, text.upper(), None), (9, text + " more", "y"), (12, None, "z"), (13, "", "z"), (14, "", None), (None, text, "x"), (20, "quite another text with its own words here", "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, component_id string")
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept) == [(False, 3), (False, 12), (False, 13), (False, 14), (False, 20), (True, 0)]
+    assert kept[0].asDict().keys() == {"doc_id", "text", "component_id"}
+
+
 def test_media_round_trip(docs, rows, empty):
     for r in avi.digest(docs).collect():
         data = (rows[r.doc_id][1] or "").encode()
