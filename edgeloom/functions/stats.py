@@ -105,13 +105,23 @@ def overlap_tail(shared: int, first: int, second: int, total: int) -> float:
     return min(-(top + math.log(sum(math.exp(t - top) for t in terms))) / math.log(10), -math.log10(np.finfo(float).tiny)) + 0.0
 
 
+def exact_tail(n: int):
+    """P[D >= d] of n < 10 untied ranks, as a function of d: all n! orders are counted."""
+    orders = np.zeros((1, 0), np.int64)
+    for k in range(n):
+        orders = np.concatenate([np.insert(orders, at, k, axis=1) for at in range(k + 1)])
+    distances = np.sort(((orders - np.arange(n)) ** 2).sum(1))
+    return lambda d: float(len(distances) - np.searchsorted(distances, d - 1e-9)) / len(distances)
+
+
 def critical_distance(p: float, n: int) -> int:
     """The largest D that selects an untied pair of n ranks: two-sided p-value of min(D, n3 - D) below p; -1 if none. The p-value grows with D."""
     whole = (n**3 - n) // 3
+    tail = exact_tail(n) if n < 10 else lambda d: spearman_p(d, n)
     low, high = -1, whole // 2
     while low < high:
         middle = (low + high + 1) // 2
-        if min(1.0, 2 * spearman_p(whole - middle, n)) < p:
+        if min(1.0, 2 * tail(whole - middle)) < p:
             low = middle
         else:
             high = middle - 1

@@ -81,3 +81,19 @@ def key_values(lines: DataFrame, value: str, *keep: str) -> DataFrame:
 def newest(spark: SparkSession, glob: str) -> str | None:
     """Path of the newest file of a glob; its content is not read."""
     return spark.read.format("binaryFile").load(glob).agg(F.max_by("path", "modificationTime")).first()[0]
+
+
+def checkpoint_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The Parquet rows that an earlier run left under `path`, or an empty table of the schema; raises if their columns differ from it."""
+    from pyspark.errors import AnalysisException
+
+    want = spark.createDataFrame([], schema)
+    try:
+        found = spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return want
+    if [(f.name, f.dataType) for f in found.schema] != [(f.name, f.dataType) for f in want.schema]:
+        raise ValueError(f"{path} has other columns: {found.schema.simpleString()}")
+    return found

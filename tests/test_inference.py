@@ -32,6 +32,29 @@ def test_critical_distance_selects_what_each_p_value_does():
         assert selected == [d <= last for d in range(whole // 2 + 1)]
 
 
+def test_small_samples_use_every_order():
+    from itertools import permutations
+
+    for n in (4, 6):
+        d = [sum((a - b) ** 2 for a, b in enumerate(o)) for o in permutations(range(n))]
+        tail, whole = stats.exact_tail(n), (n**3 - n) // 3
+        assert all(tail(k) == pytest.approx(sum(x >= k for x in d) / len(d)) for k in range(whole + 2))
+        best = max((k for k in range(whole // 2 + 1) if min(1.0, 2 * tail(whole - k)) < 0.1), default=-1)
+        assert stats.critical_distance(0.1, n) == best
+    assert stats.critical_distance(0.01, 9) >= 0 and stats.critical_distance(0.01, 3) == -1
+
+
+def test_checkpoint_or_empty(spark, tmp_path):
+    from edgeloom.sources import readers
+
+    path = str(tmp_path / "done")
+    assert readers.checkpoint_or_empty(spark, path, "k long, r double").count() == 0
+    spark.createDataFrame([(1, 0.5)], "k long, r double").write.parquet(path)
+    assert readers.checkpoint_or_empty(spark, path, "k long, r double").count() == 1
+    with pytest.raises(ValueError, match="other columns"):
+        readers.checkpoint_or_empty(spark, path, "k long, p double")
+
+
 def test_bias_corrected_interval_equals_numpy(spark):
     rng = random.Random(5)
     reps = [rng.gauss(0.3, 0.1) for _ in range(400)]
