@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .functions import stats
 from .functions.stats import exact
+from .llm.common import written
 from .operators import adjusted, audits, engine, networks, transfer
 from .plans import plans
 from .queries import BASE, FOLDS, P, _engine_sql, _outcome, _rounded, _subjects, _TABLE, SQL, _vectors, kfold_cpm, query
@@ -309,3 +310,53 @@ def adjusted_fold_r(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = readers.covariates(_vectors(spark, sf_dir)).withColumn("other_sex", 1 - F.col("sex"))
     found = adjusted.fold_partial_correlations(readers.connectome(_vectors(spark, sf_dir)), _outcome(spark, sf_dir, 2), c, ["age", "sex", "other_sex"])
     return _rounded(found.withColumnRenamed("fold", "held"), "r")
+
+
+#: Iterations of queries without SQL, the observed one included; the reference's main analyses take 10,000.
+WHOLE = 100
+_COVARIATES = ["study_2", "study_3", "sex", "age"]
+
+
+def _adjusted_table(spark: SparkSession, sf_dir: str, by_study: bool, ranks: bool, iterations: int) -> DataFrame:
+    """Permutation table of prediction with masks adjusted for the covariates in each training part."""
+    v = _vectors(spark, sf_dir)
+    s = _subjects(spark, sf_dir)
+    folds = s.select("subject_row", F.col("study_id").cast("int").alias("fold")) if by_study else plans.folds(s, FOLDS)
+    o, edges = written(engine.outcome_table(s, folds, plans.permutations(s, iterations)), "outcome"), readers.connectome(v)
+    partial = adjusted.rank_partial_correlations if ranks else adjusted.fold_partial_correlations
+    found = partial(edges, o, readers.covariates(v), _COVARIATES)
+    masks = written(adjusted.select_adjusted(found, P, engine.group_sizes(o), len(_COVARIATES)), "masks")
+    return _rounded(engine.permutation_table(engine.evaluate(edges, o, masks), []), "r", "p", "mse", "mse_p")
+
+
+def study_held_out_cpm(spark: SparkSession, sf_dir: str, ranks: bool = False, iterations: int = WHOLE) -> DataFrame:
+    """Studies held out one by one; the positive model, with r, p and mse."""
+    return _adjusted_table(spark, sf_dir, True, ranks, iterations).filter("model = 'positive'").select("model", "r", "p", "mse")
+
+
+@query("m14_study_held_out_cpm")
+def study_held_out_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return study_held_out_cpm(spark, sf_dir)
+
+
+@query("m14_study_held_out_rank_cpm")
+def study_held_out_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return study_held_out_cpm(spark, sf_dir, ranks=True)
+
+
+@query("m11_adjusted_cpm")
+def adjusted_cpm(spark: SparkSession, sf_dir: str, iterations: int = WHOLE) -> DataFrame:
+    return _adjusted_table(spark, sf_dir, False, False, iterations)
+
+
+@query("m11_adjusted_rank_cpm")
+def adjusted_rank_cpm(spark: SparkSession, sf_dir: str, iterations: int = WHOLE) -> DataFrame:
+    return _adjusted_table(spark, sf_dir, False, True, iterations)
+
+
+@query("m11_rank_cpm")
+def rank_cpm(spark: SparkSession, sf_dir: str, iterations: int = WHOLE) -> DataFrame:
+    """k-fold prediction with edges selected by ranks in each training part."""
+    edges, o = readers.connectome(_vectors(spark, sf_dir)), written(_outcome(spark, sf_dir, iterations), "outcome")
+    masks = written(adjusted.rank_masks(edges, o, P, engine.group_sizes(o)), "masks")
+    return _rounded(engine.permutation_table(engine.evaluate(edges, o, masks), []), "r", "p", "mse", "mse_p")

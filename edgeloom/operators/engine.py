@@ -85,10 +85,15 @@ def cross_validate(edges: DataFrame, outcome: DataFrame, p: float, sizes: list[i
     """(correlations, masks, metrics by iteration) of k-fold prediction with permutations."""
     found = fold_correlations(edges, outcome)
     masks = select_edges(found, p, sizes)
+    return found, masks, evaluate(edges, outcome, masks)
+
+
+def evaluate(edges: DataFrame, outcome: DataFrame, masks: DataFrame) -> DataFrame:
+    """(iter, model, r, mse): models of given masks, fitted in the training part of each fold and tried on the fold."""
     strength = strengths(edges, masks, outcome)
     models = fit_models(strength, ["iter", "held"], F.col("fold") != F.col("held"))
     predictions = predict(strength, models, ["iter", "held"], F.col("fold") == F.col("held"))
-    return found, masks, metrics(predictions, ["iter"])
+    return metrics(predictions, ["iter"])
 
 
 def consensus(masks: DataFrame, by: list[str], need: int) -> DataFrame:
