@@ -178,17 +178,60 @@ def joint_freedman_lane(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("m22_bias_corrected_interval")
 def bias_corrected_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Intervals of the correlation of one edge with the score: 200 draws of people, and the jackknife."""
+    """Intervals of each edge's correlation with the score: 200 draws of people, and the jackknife."""
     s = readers.behavior(_vectors(spark, sf_dir)).select("subject_row", "y")
-    v = readers.connectome(_vectors(spark, sf_dir)).filter("edge_id = 8").join(s, "subject_row").select(F.lit("y").alias("outcome"), "subject_row", "value", "y")
-    drawn = plans.bootstraps(s, 200).join(v, "subject_row").groupBy("outcome", "replicate").agg(stats.correlation("value", "y").alias("r"))
-    whole = W.partitionBy("outcome")
+    v = readers.connectome(_vectors(spark, sf_dir)).join(s, "subject_row").select(F.lit("y").alias("outcome"), "edge_id", "subject_row", "value", "y")
+    point = v.groupBy("outcome", "edge_id").agg(stats.correlation("value", "y").alias("r"))
+    drawn = _drawn(plans.bootstraps(s, 200), v, ["outcome", "edge_id"])
+    return _rounded(stats.bias_corrected(drawn, point, _left_out(v, ["outcome", "edge_id"]), ["outcome", "edge_id"]), "r", "low", "high", "bca_low", "bca_high")
+
+
+def _drawn(draws: DataFrame, v: DataFrame, by: list[str]) -> DataFrame:
+    """(by..., replicate, r): correlations of drawn people. Equal draws of a replicate are one row with its count, so an edge is read once a person drawn."""
+    times = draws.groupBy("replicate", "subject_row").agg(F.count("*").cast("double").alias("times"))
+    n, x, y = F.col("times"), F.col("value"), F.col("y")
+    sums = [F.sum(n * t).alias(m) for m, t in zip(engine.MOMENTS, (F.lit(1.0), x, y, x * y, x * x, y * y), strict=True)]
+    return v.join(times, "subject_row").groupBy(*by, "replicate").agg(*sums).select(*by, "replicate", stats.pearson(*(F.col(m) for m in engine.MOMENTS)).alias("r"))
+
+
+def _left_out(v: DataFrame, by: list[str]) -> DataFrame:
+    """(by..., subject_row, r): correlations without one person each, from totals less that person's own terms."""
     x, y = F.col("value"), F.col("y")
     own = (F.lit(1.0), x, y, x * y, x * x, y * y)
-    totals = (F.sum(t).over(whole) for t in own)
-    left = v.select("outcome", stats.pearson(*(t - o for t, o in zip(totals, own, strict=True))).alias("r"))
-    point = v.groupBy("outcome").agg(stats.correlation("value", "y").alias("r"))
-    return _rounded(stats.bias_corrected(drawn, point, left, ["outcome"]), "r", "low", "high", "bca_low", "bca_high")
+    return v.join(v.groupBy(*by).agg(*engine.moments("value", "y")), by).select(*by, "subject_row", stats.pearson(*(F.col(m) - o for m, o in zip(engine.MOMENTS, own, strict=True))).alias("r"))
+
+
+def _with_scores(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    s = readers.behavior(_vectors(spark, sf_dir)).select("subject_row", "y")
+    return s, readers.connectome(_vectors(spark, sf_dir)).select("subject_row", "edge_id", "value").join(s, "subject_row")
+
+
+@query("m22_bootstrap_edges")
+def bootstrap_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """m22_bootstrap for every edge."""
+    s, v = _with_scores(spark, sf_dir)
+    return _rounded(_drawn(plans.bootstraps(s, 20), v, ["edge_id"]), "r")
+
+
+@query("w12_jackknife_edges")
+def jackknife_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """w12_jackknife for every edge."""
+    return _rounded(_left_out(_with_scores(spark, sf_dir)[1], ["edge_id"]), "r")
+
+
+@query("m22_prediction_interval")
+def prediction_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intervals of each model's correlation of predicted and observed scores, of the observed iteration of m11: 200 draws of people, and the jackknife."""
+    o, edges = _outcome(spark, sf_dir, 1), readers.connectome(_vectors(spark, sf_dir))
+    masks = engine.select_edges(engine.fold_correlations(edges, o), P, engine.group_sizes(o))
+    strength = engine.strengths(edges, masks, o)
+    models = engine.fit_models(strength, ["held"], F.col("fold") != F.col("held"))
+    made = engine.predict(strength, models, ["held"], F.col("fold") == F.col("held"))
+    long = F.explode(F.array(*(F.struct(F.lit(m).alias("model"), F.col(m).alias("value")) for m in ("positive", "negative", "combined"))))
+    v = written(made.select("subject_row", "y", long.alias("m")).select("m.model", "subject_row", "m.value", "y"), "predicted")
+    point = v.groupBy("model").agg(stats.correlation("value", "y").alias("r"))
+    drawn = _drawn(plans.bootstraps(o.select("subject_row"), 200), v, ["model"])
+    return _rounded(stats.bias_corrected(drawn, point, _left_out(v, ["model"]), ["model"]), "r", "low", "high", "bca_low", "bca_high")
 
 
 @query("m01_covariate_design")
