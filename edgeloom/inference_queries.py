@@ -11,7 +11,7 @@ from .functions.stats import exact
 from .llm.common import written
 from .operators import adjusted, audits, engine, networks, transfer
 from .plans import plans
-from .queries import BASE, FOLDS, P, _engine_sql, _outcome, _rounded, _subjects, _TABLE, SQL, _vectors, kfold_cpm, query
+from .queries import BASE, FOLDS, ITERATIONS, P, _engine_sql, _outcome, _rounded, _subjects, _TABLE, SQL, _vectors, cohort_cpm, kfold_cpm, query
 from .sources import readers
 
 THRESHOLDS, TRANSFERS, NULLS = [0.05, 0.01], 3, 6
@@ -28,9 +28,9 @@ def _people(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, int
     return edges.select("person", named, "edge_id", "value"), scores.join(whole, "person").select("person", named, "y"), whole.count()
 
 
-def _masks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+def _masks(spark: SparkSession, sf_dir: str, iterations: int = TRANSFERS) -> tuple[DataFrame, DataFrame, DataFrame, int]:
     edges, scores, n = _people(spark, sf_dir)
-    order = plans.permutations(scores.filter("condition = 'train'").select(F.col("person").alias("subject_row")), TRANSFERS)
+    order = plans.permutations(scores.filter("condition = 'train'").select(F.col("person").alias("subject_row")), iterations)
     permuted = order.join(scores.withColumnRenamed("person", "source_row"), "source_row").select("iter", F.col("subject_row").alias("person"), "condition", "y")
     train = edges.filter("condition = 'train'").select("person", "edge_id", "value")
     outcome = permuted.filter("condition = 'train'").select("iter", "person", "y")
@@ -63,8 +63,8 @@ long AS (SELECT threshold, iter, condition, y, baseline, unnest(['positive', 'ne
 measured AS (SELECT threshold, iter, model, coalesce(condition, 'pooled') AS condition, round(covar_pop(predicted, y) / nullif(stddev_pop(predicted) * stddev_pop(y), 0), 10) AS r, round(avg((y - predicted) * (y - predicted)), 10) AS mse, avg((y - baseline) * (y - baseline)) AS baseline_mse FROM long GROUP BY GROUPING SETS ((threshold, iter, model, condition), (threshold, iter, model))),
 seen AS (SELECT *, max(CASE WHEN iter = 1 THEN r END) OVER w AS r1, max(CASE WHEN iter = 1 THEN mse END) OVER w AS mse1, count(*) OVER w AS n FROM measured WINDOW w AS (PARTITION BY threshold, condition, model))
 SELECT CAST(threshold AS DOUBLE) AS threshold, condition, model, round(max(CASE WHEN iter = 1 THEN r END), 5) + 0.0 AS r, round(sum(CASE WHEN r >= r1 THEN 1 ELSE 0 END) / max(n), 6) + 0.0 AS p, round(max(CASE WHEN iter = 1 THEN mse END), 5) + 0.0 AS mse, round(sum(CASE WHEN mse <= mse1 THEN 1 ELSE 0 END) / max(n), 6) + 0.0 AS mse_p, round(max(CASE WHEN iter = 1 THEN baseline_mse END), 5) + 0.0 AS baseline_mse FROM seen GROUP BY ALL""")
-def cross_condition_transfer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    masks, edges, permuted, _ = _masks(spark, sf_dir)
+def cross_condition_transfer(spark: SparkSession, sf_dir: str, iterations: int = TRANSFERS) -> DataFrame:
+    masks, edges, permuted, _ = _masks(spark, sf_dir, iterations)
     train = permuted.filter("condition = 'train'").select("iter", "person", "y")
     tests, test_edges = permuted.filter("condition <> 'train'"), edges.filter("condition <> 'train'")
     measured = transfer.transfer(masks, edges.filter("condition = 'train'").select("person", "edge_id", "value"), train, test_edges, tests, THRESHOLDS)
@@ -117,15 +117,15 @@ voted AS (SELECT iter, edge_id FROM masks WHERE sign > 0 GROUP BY ALL HAVING cou
 counts AS (SELECT i.iter, p.pair, p.capacity, count(v.edge_id) AS edges FROM iters i CROSS JOIN pairs p LEFT JOIN edge_pair e ON e.pair = p.pair LEFT JOIN voted v ON v.iter = i.iter AND v.edge_id = e.edge_id GROUP BY ALL)"""
 
 
-def _pair_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o, edges = _outcome(spark, sf_dir, NULLS), readers.connectome(_vectors(spark, sf_dir))
+def _pair_counts(spark: SparkSession, sf_dir: str, iterations: int = NULLS) -> DataFrame:
+    o, edges = _outcome(spark, sf_dir, iterations), readers.connectome(_vectors(spark, sf_dir))
     masks = engine.select_edges(engine.fold_correlations(edges, o), P, engine.group_sizes(o)).filter("sign > 0")
     sizes = spark.range(8).groupBy((F.col("id") % 4).alias("net")).agg(F.count("*").alias("size"))
     a, b = sizes.select(F.col("net").alias("r"), F.col("size").alias("a")), sizes.select(F.col("net").alias("c"), F.col("size").alias("b"))
     pairs = a.join(b, F.col("r") >= F.col("c")).select(F.expr("r * (r + 1) div 2 + c").alias("pair"), F.expr("CASE WHEN r = c THEN a * (a - 1) div 2 ELSE a * b END").alias("capacity"))
     high, low = F.greatest(F.col("node_i") % 4, F.col("node_j") % 4).cast("long"), F.least(F.col("node_i") % 4, F.col("node_j") % 4).cast("long")
     edge_pairs = edges.select("edge_id", high.alias("r"), low.alias("c")).distinct().select("edge_id", F.expr("r * (r + 1) div 2 + c").alias("pair"))
-    return networks.pair_counts(engine.consensus(masks, ["iter"], 8), edge_pairs, pairs, NULLS)
+    return networks.pair_counts(engine.consensus(masks, ["iter"], 8), edge_pairs, pairs, iterations)
 
 
 @query("a19_network_enrichment", _engine_sql(NULLS, text=_PAIR_COUNTS + """,
@@ -133,8 +133,8 @@ dense AS (SELECT *, edges / capacity AS density, sum(edges) OVER (PARTITION BY i
 tested AS (SELECT *, sum(CASE WHEN edges >= observed THEN 1 ELSE 0 END) OVER (PARTITION BY pair) / count(*) OVER (PARTITION BY pair) AS p FROM dense),
 seen AS (SELECT *, density / nullif(overall, 0) AS ratio, row_number() OVER (ORDER BY p, pair) AS k, count(*) OVER () AS m FROM tested WHERE iter = 1)
 SELECT pair, edges, capacity, round(density, 6) + 0.0 AS density, round(ratio, 6) + 0.0 AS ratio, CASE WHEN ratio > 0 THEN round(log2(ratio), 6) + 0.0 END AS log2_ratio, round(p, 6) + 0.0 AS p, round(least(1.0, min(p * m / k) OVER (ORDER BY k DESC ROWS UNBOUNDED PRECEDING)), 6) + 0.0 AS q, edges < 5 AS sparse FROM seen"""))
-def network_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(networks.enrichment(_pair_counts(spark, sf_dir)), "density", "ratio", "log2_ratio", "p", "q")
+def network_enrichment(spark: SparkSession, sf_dir: str, iterations: int = NULLS) -> DataFrame:
+    return _rounded(networks.enrichment(_pair_counts(spark, sf_dir, iterations)), "density", "ratio", "log2_ratio", "p", "q")
 
 
 @query("a22_mask_totals", _engine_sql(NULLS, text=_PAIR_COUNTS + """,
@@ -142,8 +142,8 @@ t AS (SELECT iter, CAST(sum(edges) AS BIGINT) AS edges FROM counts GROUP BY iter
 n AS (SELECT *, row_number() OVER (ORDER BY edges) AS i, count(*) OVER () AS n FROM t WHERE iter > 1)
 SELECT (SELECT edges FROM t WHERE iter = 1) AS edges, round((SELECT sum(CASE WHEN edges >= (SELECT edges FROM t WHERE iter = 1) THEN 1 ELSE 0 END) / count(*) FROM t), 6) + 0.0 AS p, round(avg(edges), 6) + 0.0 AS mean, median(edges) AS middle, min(edges) AS low, max(edges) AS high, count(*) FILTER (edges = 0) AS empty,
   CAST(round(sum(edges * greatest(0, 1 - abs(i - greatest(n * 0.025 + 0.5, 1)))), 6) AS DOUBLE) AS q025, CAST(round(sum(edges * greatest(0, 1 - abs(i - least(n * 0.975 + 0.5, n)))), 6) AS DOUBLE) AS q975 FROM n"""))
-def mask_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(networks.mask_totals(_pair_counts(spark, sf_dir)), "p", "mean", "q025", "q975")
+def mask_totals(spark: SparkSession, sf_dir: str, iterations: int = NULLS) -> DataFrame:
+    return _rounded(networks.mask_totals(_pair_counts(spark, sf_dir, iterations)), "p", "mean", "q025", "q975")
 
 
 @query("m23_stability", f"""{BASE},
@@ -151,9 +151,9 @@ part AS (SELECT seed, subject_row, (row_number() OVER (PARTITION BY seed ORDER B
 corr AS (SELECT p.seed, h.held, e.edge_id, covar_pop(e.value, s.y) / (stddev_pop(e.value) * stddev_pop(s.y)) AS r FROM edges e JOIN subjects s USING (subject_row) JOIN part p USING (subject_row) JOIN (SELECT unnest(generate_series(0, {FOLDS - 1})) AS held) h ON p.fold <> h.held GROUP BY ALL),
 votes AS (SELECT seed, edge_id, CAST(sign(r) AS INT) AS sign, count(*) AS votes FROM corr WHERE abs(r) > {stats.critical_r(P, 500 - 500 // FOLDS - 2)!r} GROUP BY ALL)
 SELECT edge_id, sign, CAST(sum(votes) AS BIGINT) AS folds, count(*) FILTER (votes >= 8) AS partitions, round((SELECT avg(r) FROM corr c WHERE c.edge_id = v.edge_id), 6) + 0.0 AS mean_r FROM votes v GROUP BY edge_id, sign""")
-def stability(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stability(spark: SparkSession, sf_dir: str, partitions: int = 5) -> DataFrame:
     s = _subjects(spark, sf_dir)
-    o = plans.partitions(s, FOLDS, 123, 127).join(s.select("subject_row", "y"), "subject_row").withColumnRenamed("seed", "iter")
+    o = plans.partitions(s, FOLDS, 123, 122 + partitions).join(s.select("subject_row", "y"), "subject_row").withColumnRenamed("seed", "iter")
     found = engine.fold_correlations(readers.connectome(_vectors(spark, sf_dir)), o)
     sizes = engine.group_sizes(o.filter("iter = 123").withColumn("iter", F.lit(1)))
     return _rounded(networks.stability(found, engine.select_edges(found, P, sizes), 8), "mean_r")
@@ -248,9 +248,9 @@ def covariate_design(spark: SparkSession, sf_dir: str) -> DataFrame:
 ordered AS (SELECT *, row_number() OVER (ORDER BY p, model) AS k, count(*) OVER () AS m, list_position(['positive', 'negative', 'combined'], model) AS place FROM (SELECT model, round(r, 6) AS r, round(p, 6) AS p, round(mse, 6) AS mse FROM result)),
 tested AS (SELECT *, least(1.0, min(p * m / k) OVER (ORDER BY k DESC ROWS UNBOUNDED PRECEDING)) AS q FROM ordered)
 SELECT CAST(place AS INT) AS place, model, CASE WHEN round(q, 6) < 0.05 THEN 'yes' ELSE 'no' END AS significant, regexp_replace(printf('%.3f', r), '^(-?)0\\.', '\\1.') AS r, regexp_replace(printf('%.3f', p), '^0\\.', '.') AS p, regexp_replace(printf('%.3f', q), '^0\\.', '.') AS q, printf('%.2f', mse) AS mse FROM tested"""))
-def publication_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+def publication_table(spark: SparkSession, sf_dir: str, iterations: int = ITERATIONS) -> DataFrame:
     """Models in the order of publication, with q over them and numbers as they are printed."""
-    tested = stats.benjamini_hochberg(kfold_cpm(spark, sf_dir).withColumn("all", F.lit(1)), "p", ["all"], ["model"])
+    tested = stats.benjamini_hochberg(kfold_cpm(spark, sf_dir, iterations).withColumn("all", F.lit(1)), "p", ["all"], ["model"])
     printed = lambda c, digits: F.regexp_replace(F.format_string(f"%.{digits}f", c), r"^(-?)0\.", "$1.")
     place = F.array_position(F.array(*map(F.lit, ("positive", "negative", "combined"))), F.col("model")).cast("int")
     significant = F.when(F.round("q", 6) < 0.05, "yes").otherwise("no")
@@ -403,3 +403,17 @@ def rank_cpm(spark: SparkSession, sf_dir: str, iterations: int = WHOLE) -> DataF
     edges, o = readers.connectome(_vectors(spark, sf_dir)), written(_outcome(spark, sf_dir, iterations), "outcome")
     masks = written(adjusted.rank_masks(edges, o, P, engine.group_sizes(o)), "masks")
     return _rounded(engine.permutation_table(engine.evaluate(edges, o, masks), []), "r", "p", "mse", "mse_p")
+
+
+def _whole(name: str, f, **counts: int) -> None:
+    """A query with as many iterations or partitions as its statistic needs; the one with SQL has fewer, which DuckDB can follow."""
+    query(name)(lambda spark, sf_dir: f(spark, sf_dir, **counts))
+
+
+_whole("m11_kfold_cpm_whole", kfold_cpm, iterations=WHOLE)
+_whole("w09_cohort_permutation_cpm_whole", cohort_cpm, iterations=WHOLE)
+_whole("m26_publication_table_whole", publication_table, iterations=WHOLE)
+_whole("a19_network_enrichment_whole", network_enrichment, iterations=WHOLE)
+_whole("a22_mask_totals_whole", mask_totals, iterations=WHOLE)
+_whole("m15_cross_condition_transfer_whole", cross_condition_transfer, iterations=WHOLE)
+_whole("m23_stability_whole", stability, partitions=100)

@@ -88,15 +88,15 @@ def _rounded(df: DataFrame, *columns: str) -> DataFrame:
 
 
 @query("m11_kfold_cpm", _engine_sql(ITERATIONS, text=_TABLE))
-def kfold_cpm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = _outcome(spark, sf_dir)
+def kfold_cpm(spark: SparkSession, sf_dir: str, iterations: int = ITERATIONS) -> DataFrame:
+    o = _outcome(spark, sf_dir, iterations)
     _, _, measured = engine.cross_validate(readers.connectome(_vectors(spark, sf_dir)), o, P, engine.group_sizes(o))
     return _rounded(engine.permutation_table(measured, []), "r", "p", "mse", "mse_p")
 
 
 @query("w09_cohort_permutation_cpm", _engine_sql(4, "study_id", _TABLE))
-def cohort_cpm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = _outcome(spark, sf_dir, 4, ("study_id",))
+def cohort_cpm(spark: SparkSession, sf_dir: str, iterations: int = 4) -> DataFrame:
+    o = _outcome(spark, sf_dir, iterations, ("study_id",))
     _, _, measured = engine.cross_validate(readers.connectome(_vectors(spark, sf_dir)), o, P, engine.group_sizes(o))
     return _rounded(engine.permutation_table(measured, []), "r", "p", "mse", "mse_p")
 
