@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 
 from .functions import stats
 from .functions.stats import exact
-from .llm.common import written
 from .operators import adjusted, audits, engine, networks, transfer
 from .plans import plans
 from .queries import BASE, FOLDS, ITERATIONS, P, _engine_sql, _outcome, _rounded, _subjects, _TABLE, SQL, _vectors, cohort_cpm, kfold_cpm, query
 from .sources import readers
+from .sources.shared import written
 
 THRESHOLDS, TRANSFERS, NULLS = [0.05, 0.01], 3, 6
 
