@@ -1,16 +1,21 @@
 """Secret scan over a trigram inverted index, in SQL expressions alone.
 
 1. Each rule's regex yields a Boolean query over mandatory trigrams (:mod:`.trigrams`).
-2. One map over whole texts writes postings (trigram, document key) for the trigrams that any rule asks for.
+2. One window slides over each whole text and writes postings (trigram, document key) for the trigrams that any rule asks for.
 3. Postings that meet all trigrams of one of a rule's sets are candidates of that rule; sets and terms are fixed by the rules.
-4. Candidates return to their documents, and the regex verifies them over the whole text. Rules without mandatory trigrams scan every text.
+4. Candidates alone are read again, and the regex verifies them over the whole text. A bitmap of candidate keys of at most
+   2**MOST_BITS bits is the only thing that every task receives; texts whose bit is not set go no further, so no
+   text but a candidate's (and those that share its bit) can cross a shuffle.
+5. Rules without mandatory trigrams scan every text in the map that also receives the spans of its document.
 
 A document's key is a hash of doc_id and text: equal rows share postings, and an accidental collision only adds a candidate that
-verification settles. A document without postings sends no text through the join. A null text counts as empty; other columns pass through.
+verification settles. A null text counts as empty; an empty table gives an empty result; repeated rows are answered one by one.
+Of input columns, those named like results (found, n_<kind>) are replaced; all others pass.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from typing import NamedTuple
 
@@ -29,6 +34,10 @@ class Rule(NamedTuple):
     keep: object = None
 
 
+#: Spans as they are sorted: by start, then by rule.
+_FOUND = "array<struct<rank:int,start:bigint,end:bigint,kind:string>>"
+
+
 def _value_length(hit: Column) -> Column:
     return F.length(F.regexp_extract(hit, r"""[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)$""", 1))
 
@@ -51,10 +60,24 @@ def _keeps(rule: Rule) -> Callable[[Column], Column]:
     return lambda x: rule.keep(x["hit"])
 
 
+#: Bits of the bitmap of candidates: BITS_EACH a candidate, at most 2**MOST_BITS (16 MB).
+BITS_EACH, MOST_BITS = 16, 27
+_PAGE = 1 << 15  # bits of one bitmap of Spark's bitmap functions
+
+
+def window(terms: list[str]) -> str:
+    """A regex whose first group takes each occurrence of a trigram, overlapping ones as well; terms with one first letter share a branch."""
+    heads: dict[str, list[str]] = {}
+    for t in sorted(terms):
+        heads.setdefault(t[0], []).append(t[1:])
+    guard = "".join("[" + "".join(re.escape(c) for c in sorted({t[k] for t in terms})) + "]" for k in range(3))
+    return f"(?={guard})(?=(" + "|".join(re.escape(h) + "(?:" + "|".join(map(re.escape, rest)) + ")" for h, rest in heads.items()) + "))"
+
+
 def index(docs: DataFrame, terms: list[str]) -> DataFrame:
-    """Postings (term, key) of the given trigrams; docs has __key and __low, the lower-cased text."""
-    held = F.array_compact(F.array(*(F.when(F.contains("__low", F.lit(t)), F.lit(t)) for t in terms)))
-    return docs.select("__key", F.explode(held).alias("term"))
+    """Postings (term, __key) of the given trigrams; docs has __key and __text."""
+    held = F.array_distinct(F.regexp_extract_all(F.lower("__text"), F.lit(window(terms)), F.lit(1)))
+    return docs.select("__key", F.explode_outer(held).alias("term")).filter("term IS NOT NULL")  # explode would search twice, for its filter too
 
 
 def candidates(postings: DataFrame, queries: dict[str, list[frozenset[str]]]) -> DataFrame:
@@ -66,29 +89,58 @@ def candidates(postings: DataFrame, queries: dict[str, list[frozenset[str]]]) ->
     return met.filter("met = needed").groupBy("__key").agg(F.collect_set("kind").alias("__rules"))
 
 
+def _only(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Rows of docs whose __key is chosen, joined with chosen; a bitmap of fixed size drops nearly all others before the join."""
+    n = chosen.count()
+    bits = min(1 << MOST_BITS, max(_PAGE, 1 << (BITS_EACH * n).bit_length()))
+    place = F.pmod(F.xxhash64("__key"), F.lit(bits))
+    page, at = F.shiftright(place, 15), F.col("__at")
+    pages = chosen.groupBy(page.alias("__page")).agg(F.bitmap_construct_agg(place.bitwiseAND(F.lit(_PAGE - 1))).alias("__bits"))
+    marked = docs.withColumns({"__page": page, "__at": place.bitwiseAND(F.lit(_PAGE - 1))}).join(F.broadcast(pages), "__page")  # at most bits / 8 bytes
+    byte = F.conv(F.hex(F.substring("__bits", F.shiftright(at, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    kept = marked.filter(F.getbit(byte, at.bitwiseAND(F.lit(7)).cast("int")) == 1)
+    return kept.drop("__page", "__at", "__bits").join(chosen, "__key")
+
+
+def _spans(rules: list[tuple[int, Rule]]) -> Column:
+    """(rank, start, end, kind) of the rules' columns; `rank` is the rule's place in the whole list."""
+    return F.concat(*(labelled(f"__{r.kind}", r.kind, i) for i, r in rules))
+
+
+def _kept(df: DataFrame, rules: list[Rule]) -> DataFrame:
+    kept = {f"__{r.kind}": F.filter(f"__{r.kind}", _keeps(r)) for r in rules if r.keep}
+    return df.withColumns(kept) if kept else df
+
+
 def find_secrets(docs: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
-    """docs with `found`: an array of (start, rank, end, kind) in this order, rank being the rule's place; base rules come first."""
+    """docs with `found`: an array of (start, rank, end, kind) in this order, rank being the rule's place; and n_<kind> of each rule."""
     rules = RULES if rules is None else rules
     queries = {r.kind: trigrams.query(r.regex) for r in rules}
-    indexed = [r for r in rules if queries[r.kind]]
-    scanned = [r for r in rules if not queries[r.kind]]
+    ranked = list(enumerate(rules))
+    indexed, scanned = ([x for x in ranked if bool(queries[x[1].kind]) == asked] for asked in (True, False))
+    docs = docs.drop("found", *(f"n_{r.kind}" for r in rules))
     keyed = docs.withColumn("__text", text_of(docs)).withColumn("__key", F.xxhash64("doc_id", "__text"))
-    lowered = keyed.withColumn("__low", F.lower("__text"))
-    terms = sorted({t for sets in queries.values() for s in sets for t in s})
-    found = locate(keyed, "__text", {f"__{r.kind}": (r.regex, F.lit(True)) for r in scanned}) if scanned else keyed
+    none = F.array().cast(_FOUND)
+    found = keyed.withColumn("__scanned", none)
+    if scanned:
+        found = _kept(locate(keyed, "__text", {f"__{r.kind}": (r.regex, F.lit(True)) for _, r in scanned}), [r for _, r in scanned])
+        found = found.withColumn("__scanned", _spans(scanned)).drop(*(f"__{r.kind}" for _, r in scanned))
+    found = found.drop("__text")
     if indexed:
-        postings = written(index(lowered.select("__key", "__low"), terms), "postings")
-        some = F.contains(F.lower("__text"), F.lit(terms[0]))
-        for t in terms[1:]:
-            some = some | F.contains(F.lower("__text"), F.lit(t))
-        found = found.withColumn("__text", F.when(some, F.col("__text")).otherwise(""))
-        found = found.join(candidates(postings, queries).hint("shuffle_hash"), "__key", "left")
-        found = locate(found, "__text", {f"__{r.kind}": (r.regex, F.coalesce(F.array_contains("__rules", r.kind), F.lit(False))) for r in indexed})
-    kept = {f"__{r.kind}": F.filter(f"__{r.kind}", _keeps(r)) for r in rules if r.keep}
-    found = found.withColumns(kept).withColumns({f"n_{r.kind}": F.size(f"__{r.kind}").cast("long") for r in rules})
-    spans = [labelled(f"__{r.kind}", r.kind, i) for i, r in enumerate(rules)]
-    by_start = F.array_sort(F.transform(F.concat(*spans), lambda x: F.struct(x["start"].alias("start"), x["rank"].alias("rank"), x["end"].alias("end"), x["kind"].alias("kind"))))
-    return found.withColumn("found", by_start).drop("__text", "__key", "__rules", *(f"__{r.kind}" for r in rules))
+        slim = keyed.select("__key", "__text")
+        terms = sorted({t for sets in queries.values() for s in sets for t in s})
+        postings = written(index(slim, terms), "postings")
+        chosen = written(candidates(postings, {r.kind: queries[r.kind] for _, r in indexed}), "candidates")
+        read = locate(_only(slim, chosen), "__text", {f"__{r.kind}": (r.regex, F.array_contains("__rules", r.kind)) for _, r in indexed})
+        verified = _kept(read, [r for _, r in indexed]).select("__key", _spans(indexed).alias("__verified")).filter(F.size("__verified") > 0)
+        verified = written(verified.groupBy("__key").agg(F.first("__verified").alias("__verified")), "verified")  # rows alike share a key and its spans
+        found = found.join(verified, "__key", "left")
+    else:
+        found = found.withColumn("__verified", none)
+    every = F.concat("__scanned", F.coalesce("__verified", none))
+    by_start = F.array_sort(F.transform(every, lambda x: F.struct(x["start"].alias("start"), x["rank"].alias("rank"), x["end"].alias("end"), x["kind"].alias("kind"))))
+    found = found.withColumn("found", by_start).drop("__key", "__scanned", "__verified")
+    return found.withColumns({f"n_{r.kind}": F.size(F.filter("found", lambda x, i=i: x["rank"] == i)).cast("long") for i, r in ranked})
 
 
 def digest(found: DataFrame) -> DataFrame:
