@@ -73,6 +73,22 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
 FROM marked GROUP BY doc_id
 """
 
+OP4_SQL = """
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x09-\\x0D\\x20]+'), lambda x: x <> '') AS w FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3])) END AS s FROM words
+), shingled AS (
+  SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets
+), links AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM shingled a JOIN shingled b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 85 * (max(a.n) + max(b.n) - count(*))
+), reached AS (
+  SELECT doc_id, doc_id AS other FROM sets UNION SELECT r.doc_id, l.y FROM reached r JOIN links l ON l.x = r.other
+)
+SELECT s.doc_id, len(any_value(s.s)) AS n_shingles, min(r.other) AS component_id FROM sets s JOIN reached r ON r.doc_id = s.doc_id GROUP BY s.doc_id
+"""
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_packing": op2_packing,
@@ -86,4 +102,4 @@ QUERIES = {
     "op10_line_dedup": op10_line_dedup,
     "pipeline": corpus_pipeline.run,
 }
-SQL: dict[str, str] = {"op10_line_dedup": OP10_SQL}
+SQL: dict[str, str] = {"op4_ngram_jaccard": OP4_SQL, "op10_line_dedup": OP10_SQL}

@@ -89,25 +89,6 @@ def test_jaccard_components(docs, rows, empty):
     assert jaccard_join.jaccard_components(empty).count() == 0
 
 
-def test_trie_against_all_pairs():
-    draw = np.random.default_rng(3)
-    for _ in range(10):
-        base, sets = draw.integers(0, 400, 40), []
-        for _ in range(60):
-            x = base.copy()
-            n = draw.integers(0, 7)
-            x[draw.integers(0, 40, n)] = draw.integers(0, 400, n)
-            sets.append(set(x.tolist()))
-        wanted = list(range(60))
-        links = [(i, j) for i in range(60) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])]
-        for _ in range(60):
-            for i, j in links:
-                wanted[i] = wanted[j] = min(wanted[i], wanted[j])
-        starts = np.r_[0, np.cumsum([len(s) for s in sets])]
-        found = jaccard_join.trie_links(np.zeros(60, int), starts, np.array([v for s in sets for v in sorted(s)], np.uint64), 85, 100)
-        assert found.tolist() == wanted
-
-
 def test_line_dedup(docs, rows, empty):
     wanted = brute.dedup(rows)
     for r in line_dedup.dedup_lines(docs).collect():
