@@ -18,3 +18,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def text_of(df: DataFrame):
     """The text column, null as the empty string."""
     return F.coalesce(df["text"].cast("string"), F.lit(""))
+
+
+#: Bits of a bitmap: BITS_EACH a key, at most 2**MOST_BITS (16 MB).
+BITS_EACH, MOST_BITS = 16, 27
+_PAGE = 1 << 15  # bits of one bitmap of Spark's bitmap functions
+
+
+def marked(df: DataFrame, key: str, chosen: DataFrame) -> DataFrame:
+    """Rows of df whose key may be one of `chosen` (a column of the same name): all that are, and of the others at most a sixteenth or so.
+
+    A bitmap of hashed keys goes to every task, whose size is bounded whatever `chosen` holds; beyond 2**MOST_BITS / BITS_EACH keys it only drops less.
+    """
+    bits = min(1 << MOST_BITS, max(_PAGE, 1 << (BITS_EACH * chosen.count()).bit_length()))
+    place = F.pmod(F.xxhash64(key), F.lit(bits))
+    within = place.bitwiseAND(F.lit(_PAGE - 1))
+    pages = chosen.groupBy(F.shiftright(place, 15).alias("__page")).agg(F.bitmap_construct_agg(within).alias("__bits"))
+    at = df.withColumns({"__page": F.shiftright(place, 15), "__at": within}).join(F.broadcast(pages), "__page")  # at most bits / 8 bytes
+    byte = F.conv(F.hex(F.substring("__bits", F.shiftright("__at", 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return at.filter(F.getbit(byte, F.col("__at").bitwiseAND(F.lit(7)).cast("int")) == 1).drop("__page", "__at", "__bits")

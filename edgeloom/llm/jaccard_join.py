@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import text_of, written
+from .common import marked, text_of, written
 from .components import components
 from .textops import chunks, lists, mix, shingle_sets
 
@@ -374,13 +374,14 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     plan = written(members.join(weight, "component").select("row", F.col("component").alias("block"), parts.alias("parts"), "weight", "doc_id", "n", "s1", "s2"), "plan")
     most, tokens = plan.agg(F.max("parts"), F.sum("n")).first()
     if most:
-        sets = base.join(plan.drop("weight"), "doc_id").select("row", "block", "parts", "n", "s1", "s2", "text")
-        sets = sets.mapInArrow(_sets(k), "row long, block long, parts long, n long, tokens array<long>").withColumnRenamed("row", "doc_id")
+        # texts of blocks alone cross the shuffle, once
+        texts = marked(base, "doc_id", plan.select("doc_id")).join(plan.drop("weight"), "doc_id").select("row", "block", "parts", "n", "s1", "s2", "text")
+        sets = written(texts.mapInArrow(_sets(k), "row long, block long, parts long, n long, tokens array<long>").withColumnRenamed("row", "doc_id"), "sets")
         pool = F.pmod(F.xxhash64("block"), F.lit(-(-tokens // CELL)))
         found = _joined(sets.filter("parts = 1").withColumns({"pool": pool, "asks": F.lit(False)}), ["pool"], num, den).select(F.col("doc_id").alias("row"), F.col("root").alias("component"))
         if most > 1:
             large = sets.filter("parts > 1").withColumn("part", F.pmod(F.xxhash64("doc_id"), "parts"))
-            large = written(large.dropDuplicates(["doc_id"]), "sets")
+            large = written(large.dropDuplicates(["doc_id"]), "large")
             found = found.unionByName(_large_blocks(large, prefix.withColumnRenamed("row", "doc_id"), num, den).withColumnRenamed("id", "row"))
         found = written(found, "found")
         smallest = found.join(classes.select("row", "doc_id"), "row").groupBy("component").agg(F.min("doc_id").alias("component_id"))

@@ -3,8 +3,8 @@
 1. Each rule's regex yields a Boolean query over mandatory trigrams (:mod:`.trigrams`).
 2. One window slides over each whole text and writes postings (trigram, document key) for the trigrams that any rule asks for.
 3. Postings that meet all trigrams of one of a rule's sets are candidates of that rule; sets and terms are fixed by the rules.
-4. Candidates alone are read again, and the regex verifies them over the whole text. A bitmap of candidate keys of at most
-   2**MOST_BITS bits is the only thing that every task receives; texts whose bit is not set go no further, so no
+4. Candidates alone are read again, and the regex verifies them over the whole text. A bitmap of candidate keys of bounded
+   size (:func:`.common.marked`) is the only thing that every task receives; texts whose bit is not set go no further, so no
    text but a candidate's (and those that share its bit) can cross a shuffle.
 5. Rules without mandatory trigrams scan every text in the map that also receives the spans of its document.
 
@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import trigrams
-from .common import text_of, written
+from .common import marked, text_of, written
 from .spans import joined, labelled, locate
 
 
@@ -60,11 +60,6 @@ def _keeps(rule: Rule) -> Callable[[Column], Column]:
     return lambda x: rule.keep(x["hit"])
 
 
-#: Bits of the bitmap of candidates: BITS_EACH a candidate, at most 2**MOST_BITS (16 MB).
-BITS_EACH, MOST_BITS = 16, 27
-_PAGE = 1 << 15  # bits of one bitmap of Spark's bitmap functions
-
-
 def window(terms: list[str]) -> str:
     """A regex whose first group takes each occurrence of a trigram, overlapping ones as well; terms with one first letter share a branch."""
     heads: dict[str, list[str]] = {}
@@ -89,19 +84,6 @@ def candidates(postings: DataFrame, queries: dict[str, list[frozenset[str]]]) ->
     return met.filter("met = needed").groupBy("__key").agg(F.collect_set("kind").alias("__rules"))
 
 
-def _only(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Rows of docs whose __key is chosen, joined with chosen; a bitmap of fixed size drops nearly all others before the join."""
-    n = chosen.count()
-    bits = min(1 << MOST_BITS, max(_PAGE, 1 << (BITS_EACH * n).bit_length()))
-    place = F.pmod(F.xxhash64("__key"), F.lit(bits))
-    page, at = F.shiftright(place, 15), F.col("__at")
-    pages = chosen.groupBy(page.alias("__page")).agg(F.bitmap_construct_agg(place.bitwiseAND(F.lit(_PAGE - 1))).alias("__bits"))
-    marked = docs.withColumns({"__page": page, "__at": place.bitwiseAND(F.lit(_PAGE - 1))}).join(F.broadcast(pages), "__page")  # at most bits / 8 bytes
-    byte = F.conv(F.hex(F.substring("__bits", F.shiftright(at, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    kept = marked.filter(F.getbit(byte, at.bitwiseAND(F.lit(7)).cast("int")) == 1)
-    return kept.drop("__page", "__at", "__bits").join(chosen, "__key")
-
-
 def _spans(rules: list[tuple[int, Rule]]) -> Column:
     """(rank, start, end, kind) of the rules' columns; `rank` is the rule's place in the whole list."""
     return F.concat(*(labelled(f"__{r.kind}", r.kind, i) for i, r in rules))
@@ -131,7 +113,7 @@ def find_secrets(docs: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
         terms = sorted({t for sets in queries.values() for s in sets for t in s})
         postings = written(index(slim, terms), "postings")
         chosen = written(candidates(postings, {r.kind: queries[r.kind] for _, r in indexed}), "candidates")
-        read = locate(_only(slim, chosen), "__text", {f"__{r.kind}": (r.regex, F.array_contains("__rules", r.kind)) for _, r in indexed})
+        read = locate(marked(slim, "__key", chosen).join(chosen, "__key"), "__text", {f"__{r.kind}": (r.regex, F.array_contains("__rules", r.kind)) for _, r in indexed})
         verified = _kept(read, [r for _, r in indexed]).select("__key", _spans(indexed).alias("__verified")).filter(F.size("__verified") > 0)
         verified = written(verified.groupBy("__key").agg(F.first("__verified").alias("__verified")), "verified")  # rows alike share a key and its spans
         found = found.join(verified, "__key", "left")
