@@ -360,7 +360,7 @@ def key_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.key_values(lines, "line", "event_id").select("event_id", "key", "number")
 
 
-@query("p15_label_mapping", "SELECT c_custkey, CASE c_mktsegment WHEN 'BUILDING' THEN 'BLD' WHEN 'MACHINERY' THEN 'MCH' ELSE lower(c_mktsegment) END AS segment, regexp_replace(printf('%.2f', c_acctbal / 100000), '^0\\.', '.') AS share FROM customer WHERE c_acctbal >= 0")
+@query("p07_label_mapping", "SELECT c_custkey, CASE c_mktsegment WHEN 'BUILDING' THEN 'BLD' WHEN 'MACHINERY' THEN 'MCH' ELSE lower(c_mktsegment) END AS segment, regexp_replace(printf('%.2f', c_acctbal / 100000), '^0\\.', '.') AS share FROM customer WHERE c_acctbal >= 0")
 def label_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     segment = F.when(F.col("c_mktsegment") == "BUILDING", "BLD").when(F.col("c_mktsegment") == "MACHINERY", "MCH").otherwise(F.lower("c_mktsegment"))
     return readers.table(spark, sf_dir, "customer").filter("c_acctbal >= 0").select("c_custkey", segment.alias("segment"), F.regexp_replace(F.format_string("%.2f", F.col("c_acctbal") / 100000), r"^0\.", ".").alias("share"))
@@ -429,7 +429,13 @@ def critical_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(f"SELECT * FROM VALUES {rows} AS t(p, df, r)")
 
 
-@query("m21_overlap_scores")
+_OVERLAPS = f"""WITH o AS ({SQL["j14_mask_overlap"]}), k AS (SELECT first, second, shared, first_size AS a, second_size AS b, (SELECT count(*) FROM part) AS n FROM o),
+t AS (SELECT *, unnest(generate_series(shared, least(a, b))) AS x FROM k),
+l AS (SELECT first, second, shared, lgamma(a + 1) - lgamma(x + 1) - lgamma(a - x + 1) + lgamma(n - a + 1) - lgamma(b - x + 1) - lgamma(n - a - b + x + 1) - lgamma(n + 1) + lgamma(b + 1) + lgamma(n - b + 1) AS lp FROM t WHERE b - x <= n - a)
+SELECT first, second, shared, round(-(max(lp) + ln(sum(exp(lp - m)))) / ln(10), 6) + 0.0 AS score FROM (SELECT *, max(lp) OVER (PARTITION BY first, second) AS m FROM l) GROUP BY first, second, shared"""
+
+
+@query("m21_overlap_scores", _OVERLAPS)
 def overlap_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hypergeometric scores of mask overlaps; a score is computed once for each distinct triple of counts."""
     overlaps = mask_overlap(spark, sf_dir).withColumn("total", F.lit(readers.table(spark, sf_dir, "part").count()))

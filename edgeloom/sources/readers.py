@@ -97,3 +97,32 @@ def checkpoint_or_empty(spark: SparkSession, path: str, schema: str) -> DataFram
     if [(f.name, f.dataType) for f in found.schema] != [(f.name, f.dataType) for f in want.schema]:
         raise ValueError(f"{path} has other columns: {found.schema.simpleString()}")
     return found
+
+
+def single_variable(df: DataFrame, keys: list[str]) -> tuple[str, DataFrame]:
+    """(name, keys and `value`) of a table that holds exactly one variable besides its keys."""
+    names = [c for c in df.columns if c not in keys]
+    if len(names) != 1:
+        raise ValueError(f"one variable expected, found {', '.join(names) or 'none'}")
+    return names[0], df.select(*keys, F.col(names[0]).alias("value"))
+
+
+def bom_csv(spark: SparkSession, path: str) -> DataFrame:
+    """CSV with a header that may begin with a byte-order mark; all columns are strings."""
+    df = spark.read.csv(path, header=True, encoding="UTF-8")
+    return df.toDF(*(c.lstrip("﻿") for c in df.columns))
+
+
+def exactly_one(df: DataFrame, keys: list[str]) -> DataFrame:
+    """df, unless a key has several rows."""
+    if not df.groupBy(*keys).count().filter("count <> 1").isEmpty():
+        raise ValueError(f"{', '.join(keys)} must name one row each")
+    return df
+
+
+def without_forbidden(df: DataFrame, forbidden: list[str]) -> DataFrame:
+    """df, unless it has one of the columns that a release must not show (compared without case)."""
+    bad = [c for c in df.columns if c.lower() in {f.lower() for f in forbidden}]
+    if bad:
+        raise ValueError(f"forbidden columns: {', '.join(bad)}")
+    return df

@@ -37,3 +37,26 @@ def markdown(df: DataFrame, columns: list[str], order: list[str]) -> DataFrame:
 def write_record(df: DataFrame, path: str, fields: dict[str, object]) -> None:
     """A one-row run record, which Spark's commit makes visible as a whole."""
     df.sparkSession.sql("SELECT '" + json.dumps(fields, sort_keys=True).replace("\\", "\\\\").replace("'", "\\'") + "' AS value").coalesce(1).write.mode("overwrite").text(path)
+
+
+def write_sheets(sheets: dict[str, DataFrame], path: str) -> None:
+    """A workbook as one folder of CSV files a sheet."""
+    for name, df in sheets.items():
+        write_csv(df, f"{path}/sheet={name}")
+
+
+def append_report(lines: DataFrame, path: str) -> None:
+    """Adds text lines (value) to a report; lines that are null are left out, earlier ones stay."""
+    lines.filter("value IS NOT NULL").select("value").coalesce(1).write.mode("append").text(path)
+
+
+def begin_run(df: DataFrame, path: str, fields: dict[str, object]) -> None:
+    """The run record as RUNNING; df is the session's any table."""
+    write_record(df, path, fields | {"status": "RUNNING"})
+
+
+def finish_run(outputs: DataFrame, path: str, fields: dict[str, object]) -> None:
+    """The run record as COMPLETE, with the number of output files and one hash over their names and contents (outputs: a binaryFile table)."""
+    hashed = manifest(outputs).select(F.concat_ws(":", F.element_at(F.split("path", "/"), -1), "sha256").alias("line"))
+    total = hashed.agg(F.count("*").alias("files"), F.sha2(F.array_join(F.sort_array(F.collect_list("line")), ","), 256).alias("sha256")).first()  # as many names as output files
+    write_record(outputs, path, fields | {"status": "COMPLETE", "files": total.files, "outputs_sha256": total.sha256})
