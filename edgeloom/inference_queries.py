@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .functions import stats
 from .functions.stats import exact
-from .operators import adjusted, audits, engine, networks, transfer
+from .operators import adjusted, audits, engine, kernel, networks, transfer
 from .plans import plans
 from .queries import BASE, FOLDS, ITERATIONS, P, _engine_sql, _outcome, _rounded, _subjects, _TABLE, SQL, _vectors, cohort_cpm, kfold_cpm, query
 from .sources import readers
@@ -219,6 +219,13 @@ def jackknife_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(_left_out(_with_scores(spark, sf_dir)[1], ["edge_id"]), "r")
 
 
+@query("m11_block_kernel", SQL["m11_kfold_cpm"])
+def block_kernel(spark: SparkSession, sf_dir: str, iterations: int = ITERATIONS) -> DataFrame:
+    """m11_kfold_cpm by matrix products over blocks of edges, the form for thousands of permutations."""
+    measured = kernel.cross_validate(readers.connectome(_vectors(spark, sf_dir)), written(_outcome(spark, sf_dir, iterations), "outcome"), P, block=16)
+    return _rounded(engine.permutation_table(measured, []), "r", "p", "mse", "mse_p")
+
+
 @query("m22_prediction_interval")
 def prediction_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Intervals of each model's correlation of predicted and observed scores, of the observed iteration of m11: 200 draws of people, and the jackknife."""

@@ -27,13 +27,25 @@ def critical(n_train: Column, p: float, sizes: list[int], rank: int = 0) -> Colu
 
 
 def fold_correlations(edges: DataFrame, outcome: DataFrame) -> DataFrame:
-    """(iter, fold, edge_id, n, r): correlation of each edge with y in the training part of each fold. outcome: (iter, subject_row, fold, y)."""
-    own = edges.select("subject_row", "edge_id", "value").join(outcome, "subject_row").groupBy("iter", "edge_id", "fold").agg(*moments("value", "y"))
+    """(iter, fold, edge_id, n, r): correlation of each edge with y in the training part of each fold. outcome: (iter, subject_row, fold, y).
+
+    Edges are centred by their means and scores by theirs before sums are formed, so values far from zero lose no digits.
+    """
+    own = _centred(edges, outcome).groupBy("iter", "edge_id", "fold").agg(*moments("value", "y"))
     whole = W.partitionBy("iter", "edge_id")
     train = own.select("iter", "fold", "edge_id", *((F.sum(m).over(whole) - F.col(m)).alias(m) for m in MOMENTS))
     return train.select("iter", "fold", "edge_id", "n", pearson(*(F.col(m) for m in MOMENTS)).alias("r"))
 
 
+def _centred(edges: DataFrame, outcome: DataFrame) -> DataFrame:
+    """outcome joined to (edge_id, value), both sides less a mean that does not depend on fold or iteration."""
+    middle = edges.groupBy("edge_id").agg(F.avg("value").alias("__mean"))
+    x = edges.select("subject_row", "edge_id", "value").join(middle, "edge_id").select("subject_row", "edge_id", (F.col("value") - F.col("__mean")).alias("value"))
+    level = outcome.agg(F.avg("y").alias("__level"))
+    y = outcome.join(F.broadcast(level)).withColumn("y", F.col("y") - F.col("__level")).drop("__level")  # one row
+    return x.join(y, "subject_row")
+
+
 def select_edges(correlations: DataFrame, p: float, sizes: list[int], rank: int = 0) -> DataFrame:
     """(iter, fold, edge_id, sign, r): edges beyond the critical value, strictly; sign 1 or -1."""
     return correlations.filter(F.abs("r") > critical(F.col("n"), p, sizes, rank)).select("iter", "fold", "edge_id", F.signum("r").cast("int").alias("sign"), "r")
@@ -90,7 +102,11 @@ def cross_validate(edges: DataFrame, outcome: DataFrame, p: float, sizes: list[i
 
 def evaluate(edges: DataFrame, outcome: DataFrame, masks: DataFrame) -> DataFrame:
     """(iter, model, r, mse): models of given masks, fitted in the training part of each fold and tried on the fold."""
-    strength = strengths(edges, masks, outcome)
+    return measure(strengths(edges, masks, outcome))
+
+
+def measure(strength: DataFrame) -> DataFrame:
+    """(iter, model, r, mse) of the strengths of all subjects under each held-out fold's masks."""
     models = fit_models(strength, ["iter", "held"], F.col("fold") != F.col("held"))
     predictions = predict(strength, models, ["iter", "held"], F.col("fold") == F.col("held"))
     return metrics(predictions, ["iter"])
