@@ -115,10 +115,13 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5,
 
 
 def repeated(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: int = 2) -> DataFrame:
-    """docs with each row as often as its whole copies say; rows alike, which share their hash, repeat as one group."""
-    plan = mix(docs, weights, share, most).groupBy("pick").agg(F.sum("copies").alias("__copies"), F.count("*").alias("__rows"))
-    keyed = docs.withColumn("pick", F.xxhash64("doc_id", docs["text"].cast("string")))
-    joined = keyed.join(plan, "pick")
+    """docs with each row as often as its whole copies say; rows alike, which share their hash, repeat as one group. All columns pass.
+
+    Null and empty texts take nothing and are left out, as is every row without a copy; an empty table gives an empty result.
+    """
+    plan = mix(docs, weights, share, most).groupBy(F.col("pick").alias("__pick")).agg(F.sum("copies").alias("__copies"), F.count("*").alias("__rows"))
+    keyed = docs.withColumn("__pick", F.xxhash64("doc_id", docs["text"].cast("string")))
+    joined = keyed.join(plan, "__pick")
     # of rows alike, each repeats as the floor of their mean; a rest of copies falls to none of them
     times = F.floor(F.col("__copies") / F.col("__rows")).cast("int")
     return joined.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), times))).select(docs.columns)

@@ -6,7 +6,7 @@ WARC-Refers-To-Date, keep its target URI, date and payload digest, carry digests
 agree. Source HTTP headers are kept in the metadata block as `http-header: name: value` lines.
 
 Rows that are null, no WARC record, or of another type yield nothing. A response without a body, or whose content is no text, has a conversion
-with an empty block. `responses` builds such records from a table of pages; a null html is an empty body and a null url the empty URI.
+with an empty block. `read_files` reads WARC files, plain or compressed record by record (a file must fit into a task). `responses` builds such records from a table of pages; a null html is an empty body and a null url the empty URI.
 """
 
 from __future__ import annotations
@@ -16,19 +16,24 @@ import hashlib
 import html
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _NAMES = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # fixed value: the name space of URLs (RFC 4122)
 DATE = "2024-01-01T00:00:00Z"
-_HIDDEN = re.compile(r"<!--.*?-->|<(script|style|noscript|template|head|title)\b[^>]*>.*?</\1\s*>", re.S | re.I)
-_BREAK = re.compile(r"<(?:br|/?(?:p|div|li|ul|ol|tr|table|h[1-6]|section|article|nav|header|footer|main|blockquote|pre|title))\b[^>]*>", re.I)
+_HIDDEN = re.compile(r"<!--|<(script|style|noscript|template|head|title)\b", re.I)
+_CLOSE = {name: re.compile(rf"</{name}\s{{0,64}}>", re.I) for name in ("script", "style", "noscript", "template", "head", "title")}
+#: Tags are read up to MOST characters, so that unclosed ones cost no more than that each.
+MOST = 4096
+_BREAK = re.compile(rf"<(?:br|/?(?:p|div|li|ul|ol|tr|table|h[1-6]|section|article|nav|header|footer|main|blockquote|pre|title))\b[^>]{{0,{MOST}}}>", re.I)
 _TAG = re.compile(r"<[^<>]*>")
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
-_LINK = re.compile(r"""<a\b[^>]*?\bhref\s*=\s*["']?([^"'\s>]+)""", re.I)
+_TITLE = re.compile(rf"<title\b[^>]{{0,{MOST}}}>", re.I)
+_LINK = re.compile(rf"""<a\b[^<>]{{0,{MOST}}}?\bhref\s{{0,64}}=\s{{0,64}}["']?([^"'\s>]+)""", re.I)
+_LENGTH = re.compile(rb"\r\n[Cc]ontent-[Ll]ength:[ \t]*([0-9]+)")
 _CHARSET = re.compile(r"charset\s*=\s*[\"']?([\w.:-]+)", re.I)
 
 
@@ -71,13 +76,84 @@ def split_http(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
     return lines[0], pairs, body if gap else b""
 
 
+def _shown(text: str) -> str:
+    """text with a space for each comment, script and the like, in one forward scan; what is never closed stays."""
+    made, at, look, open_ = [], 0, 0, set()
+    while found := _HIDDEN.search(text, look):
+        look, kind = found.end(), (found[1] or "-").lower()
+        if kind in open_:
+            continue
+        if kind == "-":
+            end = text.find("-->", look) + 3
+        else:
+            tag = text.find(">", look) + 1
+            closed = _CLOSE[kind].search(text, tag) if tag else None
+            end = closed.end() if closed else 2
+        if end <= 2:
+            open_.add(kind)  # nothing closes it from here on
+            continue
+        made += [text[at : found.start()], " "]
+        at = look = end
+    return "".join([*made, text[at:]])
+
+
 def plain(text: str) -> str:
     """Readable text of HTML: no scripts, styles or comments; block elements end lines; entities resolved; spaces of a line joined."""
-    text = _TAG.sub("", _BREAK.sub("\n", _HIDDEN.sub(" ", text)))
+    text = _TAG.sub("", _BREAK.sub("\n", _shown(text)))
     lines = (" ".join(x.split()) for x in html.unescape(text).split("\n"))
     return "\n".join(x for x in lines if x)
 
 
+def title(markup: str) -> str:
+    """Text of the first title that is closed; empty without one."""
+    begin = _TITLE.search(markup)
+    end = _CLOSE["title"].search(markup, begin.end()) if begin else None
+    return " ".join(html.unescape(markup[begin.end() : end.start()]).split()) if end else ""
+
+
+def split_records(data: bytes) -> Iterator[tuple[int, bytes]]:
+    """(offset, record) of a WARC file, plain or compressed record by record; offsets count in the file. A damaged rest yields nothing."""
+    at = 0
+    while at < len(data):
+        if data[at : at + 2] == b"\x1f\x8b":
+            member = zlib.decompressobj(31)
+            try:
+                record_ = member.decompress(data[at:] if at == 0 else memoryview(data)[at:])
+            except zlib.error:
+                return
+            if not member.eof:
+                return
+            yield at, record_
+            at = len(data) - len(member.unused_data)
+            continue
+        head = data.find(b"\r\n\r\n", at)
+        size = _LENGTH.search(data, at, head) if head >= 0 else None
+        if not data.startswith(b"WARC/", at) or size is None or head + 4 + int(size[1]) > len(data):
+            return
+        end = head + 4 + int(size[1])
+        yield at, data[at:end] + b"\r\n\r\n"
+        at = end
+        while data[at : at + 2] == b"\r\n":
+            at += 2
+
+
+def read_files(spark: SparkSession, path: str) -> DataFrame:
+    """(page_id, warc): the records of WARC files, one file a task at a time; page_id is the file's path, # and the offset."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for name, data in zip(frame["path"], frame["content"], strict=True):
+                rows: list[tuple[str, bytes]] = []
+                for at, whole in split_records(bytes(data)):
+                    rows.append((f"{name}#{at}", whole))
+                    if len(rows) >= 200:
+                        yield pd.DataFrame(rows, columns=["page_id", "warc"])
+                        rows = []
+                yield pd.DataFrame(rows, columns=["page_id", "warc"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "page_id string, warc binary")
+
+
 def _decoded(body: bytes, kind: str) -> str:
     charset = _CHARSET.search(kind)
     try:
@@ -103,10 +179,9 @@ def derivatives(data: bytes) -> list[tuple[dict[str, str], bytes, bytes]]:
     kind = next((v for k, v in http if k.lower() == "content-type"), "text/html")
     markup = _decoded(body, kind) if kind.lower().startswith(("text/", "application/xhtml")) else ""
     text = plain(markup) if "html" in kind.lower() else markup
-    title = _TITLE.search(markup)
     identity = source.get("warc-record-id", "").strip("<>")
     names = [uuid.uuid5(_NAMES, f"{identity}#{role}") for role in ("metadata", "conversion")]
-    facts = [("status", status), *(("http-header", f"{k}: {v}") for k, v in http), ("title", " ".join(html.unescape(title[1]).split()) if title else ""), ("outlinks", str(len(_LINK.findall(markup)))), ("plain-text-length", str(len(text))), ("conversion", f"<urn:uuid:{names[1]}>")]
+    facts = [("status", status), *(("http-header", f"{k}: {v}") for k, v in http), ("title", title(markup)), ("outlinks", str(len(_LINK.findall(markup)))), ("plain-text-length", str(len(text))), ("conversion", f"<urn:uuid:{names[1]}>")]
     # the response's own digest is kept where it has one, also if it differs from the body
     payload = source.get("warc-payload-digest") or digest(body)
     common = [("WARC-Date", source.get("warc-date", DATE)), ("WARC-Target-URI", source.get("warc-target-uri", "")), ("WARC-Refers-To", f"<{identity}>"), ("WARC-Refers-To-Target-URI", source.get("warc-target-uri", "")), ("WARC-Refers-To-Date", source.get("warc-date", DATE))]

@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from edgeloom.llm import avi, fingerprints, jaccard_join, line_dedup, mixing, packing, pii, secrets, toxicity, trigrams, warc
 from edgeloom.llm.queries import QUERIES
@@ -56,6 +57,17 @@ def test_redaction_hides_base_spans(docs, rows):
         assert all(set(r.text[a:b]) == {"*"} for _, a, b in brute.pii_base(text))
 
 
+def test_names_of_results_in_the_input(spark):
+    rows = [(1, "mail a@b.cd again a@b.cd ip 1.2.3.4", "mine", 7, "p"), (2, None, "mine", 8, "p"), (3, "", None, 9, "p")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, spans string, n_email int, pick string").withColumn("source", F.lit("s"))
+    found = {r.doc_id: r for r in pii.redact(docs).collect()}
+    assert found[1].text == "mail ****** again ****** ip *******" and found[2].text is None and found[3].text == ""
+    assert [(found[k].spans, found[k].n_email) for k in (1, 2, 3)] == [("mine", 7), ("mine", 8), (None, 9)]
+    assert {r.n_email for r in pii.find_pii(docs).collect()} == {2, 0}
+    repeated = mixing.repeated(docs).collect()
+    assert {(r.doc_id, r.pick, r.spans) for r in repeated} == {(1, "p", "mine")}
+
+
 def test_secrets_base(docs, rows, empty):
     for r in secrets.digest(secrets.find_secrets(docs)).collect():
         spans = brute.secrets_base(rows[r.doc_id][1])
