@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import avi, fingerprints, mixing, pii, secrets, toxicity, warc
+from . import avi, checkable, fingerprints, mixing, pii, secrets, toxicity, warc
 from .common import table, text_of
 from .jaccard_join import jaccard_components
 from .line_dedup import dedup_lines
@@ -101,5 +101,6 @@ QUERIES = {
     "op9_warc": op9_warc,
     "op10_line_dedup": op10_line_dedup,
     "pipeline": corpus_pipeline.run,
+    **checkable.QUERIES,
 }
-SQL: dict[str, str] = {"op4_ngram_jaccard": OP4_SQL, "op10_line_dedup": OP10_SQL}
+SQL: dict[str, str] = {"op4_ngram_jaccard": OP4_SQL, "op10_line_dedup": OP10_SQL, **checkable.SQL}

@@ -94,6 +94,10 @@ def _kept(df: DataFrame, rules: list[Rule]) -> DataFrame:
     return df.withColumns(kept) if kept else df
 
 
+def _count(kind: str) -> Column:
+    return F.size(F.filter("found", lambda x: x["kind"] == kind)).cast("long")
+
+
 def find_secrets(docs: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     """docs with `found`: an array of (start, rank, end, kind) in this order, rank being the rule's place; and n_<kind> of each rule."""
     rules = RULES if rules is None else rules
@@ -122,7 +126,7 @@ def find_secrets(docs: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     every = F.concat("__scanned", F.coalesce("__verified", none))
     by_start = F.array_sort(F.transform(every, lambda x: F.struct(x["start"].alias("start"), x["rank"].alias("rank"), x["end"].alias("end"), x["kind"].alias("kind"))))
     found = found.withColumn("found", by_start).drop("__key", "__scanned", "__verified")
-    return found.withColumns({f"n_{r.kind}": F.size(F.filter("found", lambda x, i=i: x["rank"] == i)).cast("long") for i, r in ranked})
+    return found.withColumns({f"n_{r.kind}": _count(r.kind) for r in rules})
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -35,6 +35,8 @@ def test_index_finds_what_whole_scans_find(texts):
     found = sorted((str(r.doc_id), r.text or "", [tuple(x) for x in r.found]) for r in made.collect())
     assert found == wanted and len(found) == len(rows)
     assert {k for _, _, spans in found for *_, k in spans} == set(PLANTED)
+    for r in made.collect():
+        assert all(r[f"n_{rule.kind}"] == sum(x.kind == rule.kind for x in r.found) for rule in secrets.RULES)
     assert set(made.columns) == {"doc_id", "text", "term", "found", *(f"n_{r.kind}" for r in secrets.RULES)}
 
 
