@@ -206,14 +206,14 @@ def _with_scores(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     return s, readers.connectome(_vectors(spark, sf_dir)).select("subject_row", "edge_id", "value").join(s, "subject_row")
 
 
-@query("m22_bootstrap_edges")
+@query("m22_bootstrap_edges", SQL["m22_bootstrap"].replace("s.y, e.value FROM", "e.edge_id, s.y, e.value FROM").replace(" AND e.edge_id = 8)", ")").replace("SELECT replicate, round", "SELECT replicate, edge_id, round").replace("GROUP BY replicate", "GROUP BY replicate, edge_id"))
 def bootstrap_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """m22_bootstrap for every edge."""
     s, v = _with_scores(spark, sf_dir)
     return _rounded(_drawn(plans.bootstraps(s, 20), v, ["edge_id"]), "r")
 
 
-@query("w12_jackknife_edges")
+@query("w12_jackknife_edges", SQL["w12_jackknife"].replace("SELECT e.subject_row", "SELECT e.edge_id, e.subject_row").replace(" WHERE edge_id = 8)", ")").replace("SELECT a.subject_row", "SELECT a.edge_id, a.subject_row").replace("ON a.subject_row", "ON a.edge_id = b.edge_id AND a.subject_row").replace("GROUP BY a.subject_row", "GROUP BY a.edge_id, a.subject_row"))
 def jackknife_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """w12_jackknife for every edge."""
     return _rounded(_left_out(_with_scores(spark, sf_dir)[1], ["edge_id"]), "r")
