@@ -5,8 +5,9 @@ of a coefficient of magnitude category 8, which has 8 free bits, 8 bits of lengt
 absolute. So frames are baseline JPEG, every byte stays aligned, and bytes read back are the bytes stored. A frame has BLOCKS blocks;
 the last one is padded, and an INFO chunk keeps the payload's length.
 
-`clips` parses the RIFF chunks and the index, decodes the intra frames to pixels, and cuts where the histogram difference of
-neighbouring frames exceeds mean + DEVIATIONS * standard deviation of the differences around it (and FLOOR). Null media give no clips.
+`clips` parses the RIFF chunks and the index, decodes the intra frames to pixels (frames of other writers by `jpeg.luma`), and cuts
+where the histogram difference of neighbouring frames exceeds mean + DEVIATIONS * standard deviation of the differences around it
+(and FLOOR). Files beyond one RIFF segment (OpenDML) are read up to the end of the first.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from . import jpeg
 from .common import text_of
 
 UNIT, COLUMNS, ROWS = 64, 4, 4
@@ -28,19 +30,6 @@ BLOCKS = COLUMNS * ROWS
 FRAME = BLOCKS * UNIT
 RATE, BINS, AROUND, DEVIATIONS, FLOOR = 25, 32, 4, 1.5, 0.15
 CODE = 0x00
-# fixed values: the zigzag order of coefficients (ITU-T T.81, figure 5)
-ZIGZAG = np.array([
-    0, 1, 8, 16, 9, 2, 3, 10, 17, 24, 32, 25, 18, 11, 4, 5, 12, 19, 26, 33, 40, 48, 41, 34, 27, 20, 13, 6, 7, 14, 21, 28,
-    35, 42, 49, 56, 57, 50, 43, 36, 29, 22, 15, 23, 30, 37, 44, 51, 58, 59, 52, 45, 38, 31, 39, 46, 53, 60, 61, 54, 47, 55, 62, 63,
-])
-
-
-def _cosines() -> np.ndarray:
-    k, x = np.mgrid[:8, :8]
-    return (np.cos((2 * x + 1) * k * np.pi / 16) * np.where(k == 0, np.sqrt(0.125), 0.5)).astype(np.float32)
-
-
-_DCT = _cosines()
 
 
 def _segment(marker: int, body: bytes) -> bytes:
@@ -91,11 +80,8 @@ def decode_frame(jpeg: bytes) -> np.ndarray:
 
 
 def pixels(blocks: np.ndarray) -> np.ndarray:
-    """Frames (n, BLOCKS, UNIT) of stored bytes to pixels (n, BLOCKS, 64), by inverse zigzag and cosine transforms."""
-    coefficients = np.zeros(blocks.shape, np.float32)
-    coefficients[..., ZIGZAG] = _bits(blocks)
-    square = coefficients.reshape(-1, 8, 8)
-    return np.clip(np.rint(_DCT.T @ square @ _DCT) + 128, 0, 255).astype(np.uint8).reshape(*blocks.shape[:2], 64)
+    """Frames (n, BLOCKS, UNIT) of stored bytes to pixels (n, BLOCKS, 64)."""
+    return jpeg.samples(_bits(blocks))
 
 
 def _chunk(name: bytes, body: bytes) -> bytes:
@@ -129,11 +115,15 @@ def _chunks(data: bytes, at: int, end: int) -> Iterator[tuple[bytes, int, int]]:
         at += 8 + size + size % 2
 
 
-def read_avi(data: bytes) -> tuple[bytes, np.ndarray, float]:
-    """(payload, frames of stored bytes, seconds a frame), by the index."""
+def frames_of(data: bytes) -> tuple[list[bytes], int | None, float]:
+    """(JPEG frames, payload length where one is kept, seconds a frame) of an AVI's first video stream.
+
+    Frames are found by the index, whose offsets count from the movie list or from the file; without an index, by walking the
+    movie list. A frame of no bytes repeats the one before it.
+    """
     if data[:4] != b"RIFF" or data[8:12] != b"AVI ":
         raise ValueError("no AVI")
-    movie, entries, length, step = 0, [], None, 1 / RATE
+    movie, end, entries, length, step = 0, 0, [], None, 1 / RATE
     for name, a, b in _chunks(data, 12, len(data)):
         kind = data[a : a + 4]
         if name == b"LIST" and kind == b"hdrl":
@@ -143,21 +133,44 @@ def read_avi(data: bytes) -> tuple[bytes, np.ndarray, float]:
         elif name == b"LIST" and kind == b"INFO":
             length = next((int(data[c:d].rstrip(b"\0")) for inner, c, d in _chunks(data, a + 4, b) if inner == b"ISRC"), None)
         elif name == b"LIST" and kind == b"movi":
-            movie = a
+            movie, end = a, b
         elif name == b"idx1":
-            entries = list(struct.iter_unpack("<4sIII", data[a:b]))
-    frames = [decode_frame(data[movie + at + 8 : movie + at + 8 + size]) for name, _, at, size in entries if name == b"00dc"]
-    stored = np.stack(frames) if frames else np.zeros((0, BLOCKS, UNIT), np.uint8)
+            entries = [(name, at, size) for name, _, at, size in struct.iter_unpack("<4sIII", data[a:b])]
+    if entries:
+        base = movie if any(data[movie + at : movie + at + 4] == name for name, at, _ in entries[:1]) else 0
+        found = [(name, base + at + 8, base + at + 8 + size) for name, at, size in entries]
+    else:
+        found = list(_movie(data, movie + 4, end))
+    video = [(name, a, b) for name, a, b in found if name[2:] in (b"dc", b"db")]
+    frames: list[bytes] = []
+    for name, a, b in video:
+        if name == video[0][0]:
+            frames.append(data[a:b] if b > a or not frames else frames[-1])
+    return frames, length, step
+
+
+def _movie(data: bytes, at: int, end: int) -> Iterator[tuple[bytes, int, int]]:
+    """Chunks of a movie list and of the record lists in it."""
+    for name, a, b in _chunks(data, at, end):
+        if name == b"LIST":
+            yield from _chunks(data, a + 4, b)
+        else:
+            yield name, a, b
+
+
+def read_avi(data: bytes) -> tuple[bytes, np.ndarray, float]:
+    """(payload, frames of stored bytes, seconds a frame) of a file of `write_avi`."""
+    jpegs, length, step = frames_of(data)
+    stored = np.stack([decode_frame(x) for x in jpegs]) if jpegs else np.zeros((0, BLOCKS, UNIT), np.uint8)
     return stored.tobytes()[:length], stored, step
 
 
-def differences(frames: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of frames (n, ...) of pixels: half the L1 distance of neighbouring histograms (n - 1), mean luma (n)."""
+def histograms(frames: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of frames (n, ...) of pixels: shares of BINS ranges of luma (n, BINS), mean luma (n)."""
     n = len(frames)
     flat = frames.reshape(n, -1)
     cells = (flat // (256 // BINS)).astype(np.int64) + np.arange(n)[:, None] * BINS
-    histograms = np.bincount(cells.ravel(), minlength=n * BINS).reshape(n, BINS) / flat.shape[1]
-    return np.abs(np.diff(histograms, axis=0)).sum(1) / 2, flat.mean(1)
+    return np.bincount(cells.ravel(), minlength=n * BINS).reshape(n, BINS) / flat.shape[1], flat.mean(1)
 
 
 def cuts(distance: np.ndarray) -> np.ndarray:
@@ -173,15 +186,22 @@ def cuts(distance: np.ndarray) -> np.ndarray:
 
 
 def clip_rows(data: bytes) -> list[tuple[int, float, float, int, float]]:
-    """(clip, start and end in seconds, frames, mean luma) of an AVI."""
-    return _clips(*read_avi(data)[1:])
+    """(clip, start and end in seconds, frames, mean luma) of an AVI, frame by frame for files of other writers."""
+    jpegs, _, step = frames_of(data)
+    if all(x.startswith(HEAD) for x in jpegs):
+        return _clips(read_avi(data)[1], step)
+    shares, means = zip(*(histograms(jpeg.luma(x)[None]) for x in jpegs), strict=True)
+    return _cut(np.concatenate(shares), np.concatenate(means), step)
 
 
 def _clips(stored: np.ndarray, step: float) -> list[tuple[int, float, float, int, float]]:
-    if not len(stored):
-        return []
-    distance, luma = differences(pixels(stored))
-    edges = [0, *cuts(distance).tolist(), len(stored)]
+    return _cut(*histograms(pixels(stored)), step) if len(stored) else []
+
+
+def _cut(shares: np.ndarray, luma: np.ndarray, step: float) -> list[tuple[int, float, float, int, float]]:
+    """Shots, cut where half the L1 distance of neighbouring histograms is high for its surroundings."""
+    distance = np.abs(np.diff(shares, axis=0)).sum(1) / 2
+    edges = [0, *cuts(distance).tolist(), len(shares)]
     return [(k, round(a * step, 3), round(b * step, 3), b - a, round(float(luma[a:b].mean()), 3)) for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False))]
 
 
@@ -202,16 +222,32 @@ def store(docs: DataFrame) -> DataFrame:
 
 
 def clips(media: DataFrame) -> DataFrame:
-    """(doc_id, clip, start_s, end_s, frames, luma) of a table with doc_id and media."""
+    """(doc_id, clip, start_s, end_s, frames, luma, error) of a table with doc_id and media.
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = [(doc, *row) for doc, data in zip(frame["doc_id"], frame["media"], strict=True) if data is not None for row in clip_rows(bytes(data))]
-            yield pd.DataFrame(rows, columns=["doc_id", "clip", "start_s", "end_s", "frames", "luma"])
+    Motion-JPEG of any writer is read. Null media and files without frames give no rows; files that cannot be read give one row
+    with the reason in `error` and nulls for the clip.
+    """
+
+    def of(data: bytes) -> list[tuple]:
+        try:
+            return [(*row, None) for row in clip_rows(data)]
+        except (ValueError, LookupError, struct.error) as problem:
+            return [(None, None, None, None, None, str(problem) or type(problem).__name__)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, data in zip(batch.column("doc_id"), batch.column("media"), strict=True):
+                rows = of(data.as_py()) if data.is_valid else []
+                if rows:
+                    columns = zip(*rows, strict=True)
+                    ids = pa.array([doc.as_py()] * len(rows), doc.type)
+                    yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, t) for c, t in zip(columns, _CLIP, strict=True))], names=["doc_id", "clip", "start_s", "end_s", "frames", "luma", "error"])
 
-    return media.select("doc_id", "media").mapInPandas(run, f"doc_id {dict(media.dtypes)['doc_id']}, clip int, start_s double, end_s double, frames int, luma double")
+    schema = "clip int, start_s double, end_s double, frames int, luma double, error string"
+    return media.select("doc_id", "media").mapInArrow(run, f"doc_id {dict(media.dtypes)['doc_id']}, {schema}")
 
 
+_CLIP = (pa.int32(), pa.float64(), pa.float64(), pa.int32(), pa.float64(), pa.string())
 _DIGEST = pa.schema([("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
 
 
