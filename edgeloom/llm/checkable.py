@@ -78,13 +78,14 @@ def mixed_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sums.select("source", "source_size", "size", F.round("target", 3).alias("target"), near.alias("met"))
 
 
-#: The level at which min(2 * size, level * weight) sums up to 150 % of all sizes is the least of those that each source would set.
+#: The level at which min(2 * size, level * weight) sums up to 150 % of all sizes is that of the first source, by size per weight, which it leaves below its double.
 MIXED_SQL = r"""
 WITH w AS (SELECT source, CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x09-\x0D\x20]+'), lambda x: x <> '')) AS BIGINT) AS size FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM w GROUP BY source),
 o AS (SELECT *, [3, 1, 2][1 + (row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1) % 3]::DOUBLE AS weight, 2.0::DOUBLE * source_size AS cap, 1.5::DOUBLE * sum(source_size) OVER () AS whole FROM s),
-l AS (SELECT *, coalesce(sum(cap) OVER (ORDER BY cap / weight ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS full_, sum(weight) OVER (ORDER BY cap / weight ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open_ FROM o),
-v AS (SELECT *, (SELECT arg_min((whole - full_) / open_, cap / weight) FROM l WHERE (whole - full_) / open_ * weight <= cap) AS level FROM l)
+p AS (SELECT *, row_number() OVER (ORDER BY cap / weight, source IS NULL, encode(source)) AS place FROM o),
+l AS (SELECT *, coalesce(sum(cap) OVER (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS full_, sum(weight) OVER (ORDER BY place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open_ FROM p),
+v AS (SELECT *, (SELECT arg_min((whole - full_) / open_, place) FROM l WHERE (whole - full_) / open_ * weight <= cap) AS level FROM l)
 SELECT source, source_size, source_size AS size, round(CAST(least(cap, coalesce(level * weight, cap)) AS DOUBLE), 3) AS target, true AS met FROM v
 """
 

@@ -30,19 +30,21 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
-def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """sources (source, source_size, ...) with target; one row a source, null last in the order of weights."""
-    order = W.orderBy(F.col("source").isNull(), F.col("source").cast("binary"))
-    turn = (F.row_number().over(order) - 1) % len(weights)
+def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, by: tuple[str, ...] = ()) -> DataFrame:
+    """sources (by..., source, source_size, ...) with target; one row a source, null last in the order of weights. Each value of `by` is a mix of its own."""
+    here = W.partitionBy(*by)
+    turn = (F.row_number().over(here.orderBy(F.col("source").isNull(), F.col("source").cast("binary"))) - 1) % len(weights)
     weighted = sources.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), turn + 1).cast("double")).withColumn("cap", F.col("source_size") * most)
-    whole = W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    first = W.orderBy(F.col("cap") / F.col("weight"), F.col("source").isNull(), "source")
+    whole = here.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    first = here.orderBy(F.col("cap") / F.col("weight"), F.col("source").isNull(), F.col("source").cast("binary"))
     before = first.rowsBetween(W.unboundedPreceding, -1)
-    sums = weighted.withColumns({"rest": F.sum("source_size").over(whole) * share - F.coalesce(F.sum("cap").over(before), F.lit(0.0)), "open": F.sum("weight").over(first.rowsBetween(0, W.unboundedFollowing))})
+    rest = F.sum("source_size").over(whole) * share - F.coalesce(F.sum("cap").over(before), F.lit(0.0))
+    sums = weighted.withColumns({"rest": rest, "open": F.sum("weight").over(first.rowsBetween(0, W.unboundedFollowing)), "place": F.row_number().over(first)})
     level = F.col("rest") / F.col("open")
-    # the first source, by cap per weight, that stays below its cap sets the level for itself and all after it
-    sums = sums.withColumn("level", F.min(F.when(level * F.col("weight") <= F.col("cap"), F.struct(F.col("cap") / F.col("weight"), level.alias("level")))).over(whole)["level"])
-    return sums.withColumn("target", F.least("cap", F.coalesce(F.col("level") * F.col("weight"), F.col("cap")))).drop("weight", "cap", "rest", "open", "level")
+    # the first source, by cap per weight, that stays below its cap sets the level for itself and all after it; of sources that tie the first one, whose rest has lost no cap of them
+    below = F.when(level * F.col("weight") <= F.col("cap"), F.struct("place", level.alias("level")))
+    sums = sums.withColumn("level", F.min(below).over(whole)["level"])
+    return sums.withColumn("target", F.least("cap", F.coalesce(F.col("level") * F.col("weight"), F.col("cap")))).drop("weight", "cap", "rest", "open", "place", "level")
 
 
 def _with(df: DataFrame, table: DataFrame, how: str = "left", keys: tuple[str, ...] = ("source",)) -> DataFrame:
@@ -110,7 +112,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5,
     at_edge = planned.filter("edge").withColumn("extra", F.greatest(F.lit(0), F.least(F.col("size"), F.col("left") - F.coalesce(F.sum("size").over(ahead), F.lit(0)))))
     others = planned.filter("NOT edge").withColumn("extra", F.when(F.col("left") > 0, F.col("size")).otherwise(F.lit(0)))
     every = others.unionByName(at_edge)
-    copies = F.col("whole") + F.when((F.col("size") > 0) & (F.col("extra") == F.col("size")), 1).otherwise(0)
+    # a document of size 0 has the rate exp(0), yet nothing to take
+    copies = F.when(F.col("size") > 0, F.col("whole") + (F.col("extra") == F.col("size")).cast("int")).otherwise(0)
     return every.select("doc_id", "pick", "size", "source_size", "target", "rate", copies.alias("copies"), (F.col("size") * F.col("whole") + F.col("extra")).alias("taken"))
 
 

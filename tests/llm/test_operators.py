@@ -68,6 +68,33 @@ def test_names_of_results_in_the_input(spark):
     assert {(r.doc_id, r.pick, r.spans) for r in repeated} == {(1, "p", "mine")}
 
 
+def test_targets_where_sources_tie(spark):
+    """Random tables of few different sizes: targets are those of sharing again and again, none is negative, they sum up to 150 % or all caps."""
+    draw = np.random.default_rng(5)
+    tables = [{None if s == 0 else f"s{s}": int(draw.choice([0, 10, 300, 600, 900])) for s in draw.permutation(9)[: draw.integers(1, 9)]} for _ in range(500)]
+    tables += [{"a": 900, "b": 300}, {"a": 900, "b": 300, "c": 10}, {f"s{k}": 600 for k in range(6)}]
+    rows = [(k, s, n) for k, t in enumerate(tables) for s, n in t.items()]
+    found = [{} for _ in tables]
+    for r in mixing.targets(spark.createDataFrame(rows, "mix int, source string, source_size long"), by=("mix",)).collect():
+        found[r.mix][r.source] = r.target
+    for made, sizes in zip(found, tables, strict=True):
+        assert made == pytest.approx(brute.targets(sizes))
+        assert min(made.values()) >= 0 and sum(made.values()) == pytest.approx(min(1.5 * sum(sizes.values()), 2.0 * sum(sizes.values())))
+    assert mixing.targets(spark.createDataFrame([("a", 900), ("b", 300)], "source string, source_size long")).collect()[0].target == 1350
+
+
+def test_mix_with_tied_sources(spark):
+    """Three sources of one size and documents without words: words taken meet the targets, empty documents have no copy."""
+    rows = [(k, "w " * (k % 7), f"s{k % 3}") for k in range(420)] + [(1000 + k, t, "s0") for k, t in enumerate((None, "", " \n"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    made = mixing.mix(docs).join(docs.select("doc_id", "source"), "doc_id").collect()
+    sizes = {f"s{k}": sum(j % 7 for j in range(420) if j % 3 == k) for k in range(3)}
+    for s, target in brute.targets(sizes).items():
+        assert abs(sum(r.taken for r in made if r.source == s) - target) <= 1
+    assert all(r.copies == 0 and r.taken == 0 for r in made if r["size"] == 0) and all(r.taken <= 2 * r["size"] for r in made)
+    assert all(r.text.strip() for r in mixing.repeated(docs).collect())
+
+
 def test_secrets_base(docs, rows, empty):
     for r in secrets.digest(secrets.find_secrets(docs)).collect():
         spans = brute.secrets_base(rows[r.doc_id][1])
