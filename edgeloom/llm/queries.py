@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import avi, checkable, fingerprints, mixing, pii, secrets, toxicity, warc
+from . import annulus, avi, checkable, fingerprints, mixing, oracles, pii, secrets, toxicity, turns, warc
 from .common import table, text_of
 from .jaccard_join import jaccard_components
 from .line_dedup import dedup_lines
@@ -58,6 +58,15 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(text_of(kept), 256).alias("kept_sha256"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return turns.repair(turns.damaged(conversations), every=conversations)
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return annulus.cluster(table(spark, sf_dir, "embeddings"))
+
+
 OP10_SQL = """
 WITH split AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents
@@ -100,7 +109,9 @@ QUERIES = {
     "op8_secrets": op8_secrets,
     "op9_warc": op9_warc,
     "op10_line_dedup": op10_line_dedup,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_centroids": op13_centroids,
     "pipeline": corpus_pipeline.run,
     **checkable.QUERIES,
 }
-SQL: dict[str, str] = {"op4_ngram_jaccard": OP4_SQL, "op10_line_dedup": OP10_SQL, **checkable.SQL}
+SQL: dict[str, str] = {"op4_ngram_jaccard": OP4_SQL, "op10_line_dedup": OP10_SQL, "op12_conversation_repair": oracles.OP12_SQL, "op13_centroids": oracles.OP13_SQL, **checkable.SQL}
