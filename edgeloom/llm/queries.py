@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import annulus, avi, checkable, fingerprints, mixing, oracles, pii, secrets, toxicity, turns, warc
+from . import annulus, avi, checkable, fingerprints, mixing, oracles, pii, quality, secrets, toxicity, turns, warc
 from .common import table, text_of
 from .jaccard_join import jaccard_components
 from .line_dedup import dedup_lines
@@ -58,6 +58,12 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(text_of(kept), 256).alias("kept_sha256"))
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.score_quality(docs, table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     conversations = table(spark, sf_dir, "conversations")
     return turns.repair(turns.damaged(conversations), every=conversations)
@@ -109,6 +115,7 @@ QUERIES = {
     "op8_secrets": op8_secrets,
     "op9_warc": op9_warc,
     "op10_line_dedup": op10_line_dedup,
+    "op11_quality": op11_quality,
     "op12_conversation_repair": op12_conversation_repair,
     "op13_centroids": op13_centroids,
     "pipeline": corpus_pipeline.run,
