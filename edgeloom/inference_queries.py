@@ -10,7 +10,7 @@ from .functions import stats
 from .functions.stats import exact
 from .operators import adjusted, audits, engine, kernel, networks, transfer
 from .plans import plans
-from .queries import BASE, FOLDS, ITERATIONS, P, _engine_sql, _outcome, _rounded, _subjects, _TABLE, SQL, _vectors, cohort_cpm, kfold_cpm, query
+from .queries import BASE, FOLDS, ITERATIONS, P, _drawn, _engine_sql, _left_out, _outcome, _rounded, _subjects, SQL, _TABLE, _vectors, kfold_cpm, query
 from .sources import readers
 from .sources.shared import written
 
@@ -29,14 +29,20 @@ def _people(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, int
 
 
 def _masks(spark: SparkSession, sf_dir: str, iterations: int = TRANSFERS) -> tuple[DataFrame, DataFrame, DataFrame, int]:
-    edges, scores, n = _people(spark, sf_dir)
-    order = plans.permutations(scores.filter("condition = 'train'").select(F.col("person").alias("subject_row")), iterations)
-    permuted = order.join(scores.withColumnRenamed("person", "source_row"), "source_row").select("iter", F.col("subject_row").alias("person"), "condition", "y")
+    edges, permuted, n = _sessions(spark, sf_dir, iterations)
     train = edges.filter("condition = 'train'").select("person", "edge_id", "value")
     outcome = permuted.filter("condition = 'train'").select("iter", "person", "y")
     return transfer.left_out_masks(train, outcome, THRESHOLDS, n), edges, permuted, n
 
 
+def _sessions(spark: SparkSession, sf_dir: str, iterations: int) -> tuple[DataFrame, DataFrame, int]:
+    """(edges by condition and person, scores by iteration, condition and person, number of people)."""
+    edges, scores, n = _people(spark, sf_dir)
+    order = plans.permutations(scores.filter("condition = 'train'").select(F.col("person").alias("subject_row")), iterations)
+    permuted = order.join(scores.withColumnRenamed("person", "source_row"), "source_row").select("iter", F.col("subject_row").alias("person"), "condition", "y")
+    return edges, permuted, n
+
+
 _CUTS = ", ".join(f"({t}, {stats.critical_r(t, 166 - 3)!r})" for t in THRESHOLDS)
 _LEFT_OUT = f"""{BASE},
 session AS (SELECT subject_row // 3 AS person, CASE subject_row % 3 WHEN 1 THEN 'first' WHEN 2 THEN 'second' ELSE 'train' END AS condition, subject_row, y FROM subjects WHERE subject_row // 3 IN (SELECT subject_row // 3 FROM subjects GROUP BY 1 HAVING count(*) = 3)),
@@ -67,7 +73,10 @@ def cross_condition_transfer(spark: SparkSession, sf_dir: str, iterations: int =
     masks, edges, permuted, _ = _masks(spark, sf_dir, iterations)
     train = permuted.filter("condition = 'train'").select("iter", "person", "y")
     tests, test_edges = permuted.filter("condition <> 'train'"), edges.filter("condition <> 'train'")
-    measured = transfer.transfer(masks, edges.filter("condition = 'train'").select("person", "edge_id", "value"), train, test_edges, tests, THRESHOLDS)
+    return transfer_table(transfer.transfer(masks, edges.filter("condition = 'train'").select("person", "edge_id", "value"), train, test_edges, tests, THRESHOLDS))
+
+
+def transfer_table(measured: DataFrame) -> DataFrame:
     by = ["threshold", "condition"]
     baseline = measured.filter("iter = 1").select(*by, "model", exact("baseline_mse", 5).alias("baseline_mse"))
     table = engine.permutation_table(measured, by).join(baseline, [*by, "model"])
@@ -117,15 +126,19 @@ voted AS (SELECT iter, edge_id FROM masks WHERE sign > 0 GROUP BY ALL HAVING cou
 counts AS (SELECT i.iter, p.pair, p.capacity, count(v.edge_id) AS edges FROM iters i CROSS JOIN pairs p LEFT JOIN edge_pair e ON e.pair = p.pair LEFT JOIN voted v ON v.iter = i.iter AND v.edge_id = e.edge_id GROUP BY ALL)"""
 
 
-def _pair_counts(spark: SparkSession, sf_dir: str, iterations: int = NULLS) -> DataFrame:
+def _pair_counts(spark: SparkSession, sf_dir: str, iterations: int = NULLS, blocks: bool = False) -> DataFrame:
+    """Counts of the masks of positive edges that eight folds share; by blocks of edges where iterations are many."""
     o, edges = _outcome(spark, sf_dir, iterations), readers.connectome(_vectors(spark, sf_dir))
-    masks = engine.select_edges(engine.fold_correlations(edges, o), P, engine.group_sizes(o)).filter("sign > 0")
+    if blocks:
+        voted = kernel.block_votes(edges, written(o, "outcome"), P, 8).filter("sign > 0")
+    else:
+        voted = engine.consensus(engine.select_edges(engine.fold_correlations(edges, o), P, engine.group_sizes(o)).filter("sign > 0"), ["iter"], 8)
     sizes = spark.range(8).groupBy((F.col("id") % 4).alias("net")).agg(F.count("*").alias("size"))
     a, b = sizes.select(F.col("net").alias("r"), F.col("size").alias("a")), sizes.select(F.col("net").alias("c"), F.col("size").alias("b"))
     pairs = a.join(b, F.col("r") >= F.col("c")).select(F.expr("r * (r + 1) div 2 + c").alias("pair"), F.expr("CASE WHEN r = c THEN a * (a - 1) div 2 ELSE a * b END").alias("capacity"))
     high, low = F.greatest(F.col("node_i") % 4, F.col("node_j") % 4).cast("long"), F.least(F.col("node_i") % 4, F.col("node_j") % 4).cast("long")
     edge_pairs = edges.select("edge_id", high.alias("r"), low.alias("c")).distinct().select("edge_id", F.expr("r * (r + 1) div 2 + c").alias("pair"))
-    return networks.pair_counts(engine.consensus(masks, ["iter"], 8), edge_pairs, pairs, iterations)
+    return networks.pair_counts(voted, edge_pairs, pairs, iterations)
 
 
 @query("a19_network_enrichment", _engine_sql(NULLS, text=_PAIR_COUNTS + """,
@@ -133,8 +146,8 @@ dense AS (SELECT *, edges / capacity AS density, sum(edges) OVER (PARTITION BY i
 tested AS (SELECT *, sum(CASE WHEN edges >= observed THEN 1 ELSE 0 END) OVER (PARTITION BY pair) / count(*) OVER (PARTITION BY pair) AS p FROM dense),
 seen AS (SELECT *, density / nullif(overall, 0) AS ratio, row_number() OVER (ORDER BY p, pair) AS k, count(*) OVER () AS m FROM tested WHERE iter = 1)
 SELECT pair, edges, capacity, round(density, 6) + 0.0 AS density, round(ratio, 6) + 0.0 AS ratio, CASE WHEN ratio > 0 THEN round(log2(ratio), 6) + 0.0 END AS log2_ratio, round(p, 6) + 0.0 AS p, round(least(1.0, min(p * m / k) OVER (ORDER BY k DESC ROWS UNBOUNDED PRECEDING)), 6) + 0.0 AS q, edges < 5 AS sparse FROM seen"""))
-def network_enrichment(spark: SparkSession, sf_dir: str, iterations: int = NULLS) -> DataFrame:
-    return _rounded(networks.enrichment(_pair_counts(spark, sf_dir, iterations)), "density", "ratio", "log2_ratio", "p", "q")
+def network_enrichment(spark: SparkSession, sf_dir: str, iterations: int = NULLS, blocks: bool = False) -> DataFrame:
+    return _rounded(networks.enrichment(_pair_counts(spark, sf_dir, iterations, blocks)), "density", "ratio", "log2_ratio", "p", "q")
 
 
 @query("a22_mask_totals", _engine_sql(NULLS, text=_PAIR_COUNTS + """,
@@ -142,8 +155,8 @@ t AS (SELECT iter, CAST(sum(edges) AS BIGINT) AS edges FROM counts GROUP BY iter
 n AS (SELECT *, row_number() OVER (ORDER BY edges) AS i, count(*) OVER () AS n FROM t WHERE iter > 1)
 SELECT (SELECT edges FROM t WHERE iter = 1) AS edges, round((SELECT sum(CASE WHEN edges >= (SELECT edges FROM t WHERE iter = 1) THEN 1 ELSE 0 END) / count(*) FROM t), 6) + 0.0 AS p, round(avg(edges), 6) + 0.0 AS mean, median(edges) AS middle, min(edges) AS low, max(edges) AS high, count(*) FILTER (edges = 0) AS empty,
   CAST(round(sum(edges * greatest(0, 1 - abs(i - greatest(n * 0.025 + 0.5, 1)))), 6) AS DOUBLE) AS q025, CAST(round(sum(edges * greatest(0, 1 - abs(i - least(n * 0.975 + 0.5, n)))), 6) AS DOUBLE) AS q975 FROM n"""))
-def mask_totals(spark: SparkSession, sf_dir: str, iterations: int = NULLS) -> DataFrame:
-    return _rounded(networks.mask_totals(_pair_counts(spark, sf_dir, iterations)), "p", "mean", "q025", "q975")
+def mask_totals(spark: SparkSession, sf_dir: str, iterations: int = NULLS, blocks: bool = False) -> DataFrame:
+    return _rounded(networks.mask_totals(_pair_counts(spark, sf_dir, iterations, blocks)), "p", "mean", "q025", "q975")
 
 
 @query("m23_stability", f"""{BASE},
@@ -186,39 +199,6 @@ def bias_corrected_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(stats.bias_corrected(drawn, point, _left_out(v, ["outcome", "edge_id"]), ["outcome", "edge_id"]), "r", "low", "high", "bca_low", "bca_high")
 
 
-def _drawn(draws: DataFrame, v: DataFrame, by: list[str]) -> DataFrame:
-    """(by..., replicate, r): correlations of drawn people. Equal draws of a replicate are one row with its count, so an edge is read once a person drawn."""
-    times = draws.groupBy("replicate", "subject_row").agg(F.count("*").cast("double").alias("times"))
-    n, x, y = F.col("times"), F.col("value"), F.col("y")
-    sums = [F.sum(n * t).alias(m) for m, t in zip(engine.MOMENTS, (F.lit(1.0), x, y, x * y, x * x, y * y), strict=True)]
-    return v.join(times, "subject_row").groupBy(*by, "replicate").agg(*sums).select(*by, "replicate", stats.pearson(*(F.col(m) for m in engine.MOMENTS)).alias("r"))
-
-
-def _left_out(v: DataFrame, by: list[str]) -> DataFrame:
-    """(by..., subject_row, r): correlations without one person each, from totals less that person's own terms."""
-    x, y = F.col("value"), F.col("y")
-    own = (F.lit(1.0), x, y, x * y, x * x, y * y)
-    return v.join(v.groupBy(*by).agg(*engine.moments("value", "y")), by).select(*by, "subject_row", stats.pearson(*(F.col(m) - o for m, o in zip(engine.MOMENTS, own, strict=True))).alias("r"))
-
-
-def _with_scores(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    s = readers.behavior(_vectors(spark, sf_dir)).select("subject_row", "y")
-    return s, readers.connectome(_vectors(spark, sf_dir)).select("subject_row", "edge_id", "value").join(s, "subject_row")
-
-
-@query("m22_bootstrap_edges", SQL["m22_bootstrap"].replace("s.y, e.value FROM", "e.edge_id, s.y, e.value FROM").replace(" AND e.edge_id = 8)", ")").replace("SELECT replicate, round", "SELECT replicate, edge_id, round").replace("GROUP BY replicate", "GROUP BY replicate, edge_id"))
-def bootstrap_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """m22_bootstrap for every edge."""
-    s, v = _with_scores(spark, sf_dir)
-    return _rounded(_drawn(plans.bootstraps(s, 20), v, ["edge_id"]), "r")
-
-
-@query("w12_jackknife_edges", SQL["w12_jackknife"].replace("SELECT e.subject_row", "SELECT e.edge_id, e.subject_row").replace(" WHERE edge_id = 8)", ")").replace("SELECT a.subject_row", "SELECT a.edge_id, a.subject_row").replace("ON a.subject_row", "ON a.edge_id = b.edge_id AND a.subject_row").replace("GROUP BY a.subject_row", "GROUP BY a.edge_id, a.subject_row"))
-def jackknife_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """w12_jackknife for every edge."""
-    return _rounded(_left_out(_with_scores(spark, sf_dir)[1], ["edge_id"]), "r")
-
-
 @query("m11_block_kernel", SQL["m11_kfold_cpm"])
 def block_kernel(spark: SparkSession, sf_dir: str, iterations: int = ITERATIONS) -> DataFrame:
     """m11_kfold_cpm by matrix products over blocks of edges, the form for thousands of permutations."""
@@ -255,9 +235,13 @@ def covariate_design(spark: SparkSession, sf_dir: str) -> DataFrame:
 ordered AS (SELECT *, row_number() OVER (ORDER BY p, model) AS k, count(*) OVER () AS m, list_position(['positive', 'negative', 'combined'], model) AS place FROM (SELECT model, round(r, 6) AS r, round(p, 6) AS p, round(mse, 6) AS mse FROM result)),
 tested AS (SELECT *, least(1.0, min(p * m / k) OVER (ORDER BY k DESC ROWS UNBOUNDED PRECEDING)) AS q FROM ordered)
 SELECT CAST(place AS INT) AS place, model, CASE WHEN round(q, 6) < 0.05 THEN 'yes' ELSE 'no' END AS significant, regexp_replace(printf('%.3f', r), '^(-?)0\\.', '\\1.') AS r, regexp_replace(printf('%.3f', p), '^0\\.', '.') AS p, regexp_replace(printf('%.3f', q), '^0\\.', '.') AS q, printf('%.2f', mse) AS mse FROM tested"""))
-def publication_table(spark: SparkSession, sf_dir: str, iterations: int = ITERATIONS) -> DataFrame:
+def publication_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return published(kfold_cpm(spark, sf_dir))
+
+
+def published(models: DataFrame) -> DataFrame:
     """Models in the order of publication, with q over them and numbers as they are printed."""
-    tested = stats.benjamini_hochberg(kfold_cpm(spark, sf_dir, iterations).withColumn("all", F.lit(1)), "p", ["all"], ["model"])
+    tested = stats.benjamini_hochberg(models.withColumn("all", F.lit(1)), "p", ["all"], ["model"])
     printed = lambda c, digits: F.regexp_replace(F.format_string(f"%.{digits}f", c), r"^(-?)0\.", "$1.")
     place = F.array_position(F.array(*map(F.lit, ("positive", "negative", "combined"))), F.col("model")).cast("int")
     significant = F.when(F.round("q", 6) < 0.05, "yes").otherwise("no")
@@ -360,67 +344,3 @@ def adjusted_fold_r(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = readers.covariates(_vectors(spark, sf_dir)).withColumn("other_sex", 1 - F.col("sex"))
     found = adjusted.fold_partial_correlations(readers.connectome(_vectors(spark, sf_dir)), _outcome(spark, sf_dir, 2), c, ["age", "sex", "other_sex"])
     return _rounded(found.withColumnRenamed("fold", "held"), "r")
-
-
-#: Iterations of queries without SQL, the observed one included; the reference's main analyses take 10,000.
-WHOLE = 100
-_COVARIATES = ["study_2", "study_3", "sex", "age"]
-
-
-def _adjusted_table(spark: SparkSession, sf_dir: str, by_study: bool, ranks: bool, iterations: int) -> DataFrame:
-    """Permutation table of prediction with masks adjusted for the covariates in each training part."""
-    v = _vectors(spark, sf_dir)
-    s = _subjects(spark, sf_dir)
-    folds = s.select("subject_row", F.col("study_id").cast("int").alias("fold")) if by_study else plans.folds(s, FOLDS)
-    o, edges = written(engine.outcome_table(s, folds, plans.permutations(s, iterations)), "outcome"), readers.connectome(v)
-    partial = adjusted.rank_partial_correlations if ranks else adjusted.fold_partial_correlations
-    found = partial(edges, o, readers.covariates(v), _COVARIATES)
-    masks = written(adjusted.select_adjusted(found, P, engine.group_sizes(o), len(_COVARIATES)), "masks")
-    return _rounded(engine.permutation_table(engine.evaluate(edges, o, masks), []), "r", "p", "mse", "mse_p")
-
-
-def study_held_out_cpm(spark: SparkSession, sf_dir: str, ranks: bool = False, iterations: int = WHOLE) -> DataFrame:
-    """Studies held out one by one; the positive model, with r, p and mse."""
-    return _adjusted_table(spark, sf_dir, True, ranks, iterations).filter("model = 'positive'").select("model", "r", "p", "mse")
-
-
-@query("m14_study_held_out_cpm")
-def study_held_out_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return study_held_out_cpm(spark, sf_dir)
-
-
-@query("m14_study_held_out_rank_cpm")
-def study_held_out_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return study_held_out_cpm(spark, sf_dir, ranks=True)
-
-
-@query("m11_adjusted_cpm")
-def adjusted_cpm(spark: SparkSession, sf_dir: str, iterations: int = WHOLE) -> DataFrame:
-    return _adjusted_table(spark, sf_dir, False, False, iterations)
-
-
-@query("m11_adjusted_rank_cpm")
-def adjusted_rank_cpm(spark: SparkSession, sf_dir: str, iterations: int = WHOLE) -> DataFrame:
-    return _adjusted_table(spark, sf_dir, False, True, iterations)
-
-
-@query("m11_rank_cpm")
-def rank_cpm(spark: SparkSession, sf_dir: str, iterations: int = WHOLE) -> DataFrame:
-    """k-fold prediction with edges selected by ranks in each training part."""
-    edges, o = readers.connectome(_vectors(spark, sf_dir)), written(_outcome(spark, sf_dir, iterations), "outcome")
-    masks = written(adjusted.rank_masks(edges, o, P, engine.group_sizes(o)), "masks")
-    return _rounded(engine.permutation_table(engine.evaluate(edges, o, masks), []), "r", "p", "mse", "mse_p")
-
-
-def _whole(name: str, f, **counts: int) -> None:
-    """A query with as many iterations or partitions as its statistic needs; the one with SQL has fewer, which DuckDB can follow."""
-    query(name)(lambda spark, sf_dir: f(spark, sf_dir, **counts))
-
-
-_whole("m11_kfold_cpm_whole", kfold_cpm, iterations=WHOLE)
-_whole("w09_cohort_permutation_cpm_whole", cohort_cpm, iterations=WHOLE)
-_whole("m26_publication_table_whole", publication_table, iterations=WHOLE)
-_whole("a19_network_enrichment_whole", network_enrichment, iterations=WHOLE)
-_whole("a22_mask_totals_whole", mask_totals, iterations=WHOLE)
-_whole("m15_cross_condition_transfer_whole", cross_condition_transfer, iterations=WHOLE)
-_whole("m23_stability_whole", stability, partitions=100)

@@ -78,7 +78,7 @@ def owning_directory(sources: DataFrame, records: DataFrame) -> DataFrame:
 
 def with_q(summary: DataFrame, p: str, by: list[str], order: list[str], tolerance: float = 1e-12) -> DataFrame:
     """summary with q: derived where the column is missing (old summaries), else checked against the recomputed one."""
-    from ..functions.stats import benjamini_hochberg
+    from ..functions.ranks import benjamini_hochberg
 
     computed = benjamini_hochberg(summary, p, by, order, "__q")
     if "q" not in summary.columns:

@@ -29,21 +29,38 @@ def critical(n_train: Column, p: float, sizes: list[int], rank: int = 0) -> Colu
 def fold_correlations(edges: DataFrame, outcome: DataFrame) -> DataFrame:
     """(iter, fold, edge_id, n, r): correlation of each edge with y in the training part of each fold. outcome: (iter, subject_row, fold, y).
 
-    Edges are centred by their means and scores by theirs before sums are formed, so values far from zero lose no digits.
+    One pass over the edges: each fold's own means and centred sums are combined for all folds but one, so values far from zero lose no digits. r is NULL where
+    an edge or y has no variance but rounding.
     """
-    own = _centred(edges, outcome).groupBy("iter", "edge_id", "fold").agg(*moments("value", "y"))
-    whole = W.partitionBy("iter", "edge_id")
-    train = own.select("iter", "fold", "edge_id", *((F.sum(m).over(whole) - F.col(m)).alias(m) for m in MOMENTS))
-    return train.select("iter", "fold", "edge_id", "n", pearson(*(F.col(m) for m in MOMENTS)).alias("r"))
-
-
-def _centred(edges: DataFrame, outcome: DataFrame) -> DataFrame:
-    """outcome joined to (edge_id, value), both sides less a mean that does not depend on fold or iteration."""
-    middle = edges.groupBy("edge_id").agg(F.avg("value").alias("__mean"))
-    x = edges.select("subject_row", "edge_id", "value").join(middle, "edge_id").select("subject_row", "edge_id", (F.col("value") - F.col("__mean")).alias("value"))
-    level = outcome.agg(F.avg("y").alias("__level"))
-    y = outcome.join(F.broadcast(level)).withColumn("y", F.col("y") - F.col("__level")).drop("__level")  # one row
-    return x.join(y, "subject_row")
+    c = F.col
+    n = F.count("*").cast("double")
+    own = edges.select("subject_row", "edge_id", "value").join(outcome, "subject_row").groupBy("iter", "edge_id", "fold")
+    own = own.agg(n.alias("n"), F.avg("value").alias("x"), F.avg("y").alias("y"), (F.var_pop("value") * n).alias("xx"), (F.var_pop("y") * n).alias("yy"), (F.covar_pop("value", "y") * n).alias("xy"))
+    whole = lambda v: F.sum(v).over(W.partitionBy("iter", "edge_id"))
+    # each fold's mean less the mean of all folds
+    own = own.withColumns({"whole": whole("n"), "mx": whole(c("n") * c("x")) / whole("n"), "my": whole(c("n") * c("y")) / whole("n")})
+    own = own.withColumns({"dx": c("x") - c("mx"), "dy": c("y") - c("my"), "left": c("whole") - c("n")})
+    # centred sums of all, less the fold's own, less what the mean of the others differs from that of all
+    less = lambda s, a, b: whole(c(s) + c("n") * c(a) * c(b)) - c(s) - c("n") * c(a) * c(b) * (1 + F.try_divide(c("n"), c("left")))
+    train = own.select("iter", "fold", "edge_id", c("left").alias("n"), "mx", "my", less("xx", "dx", "dx").alias("xx"), less("yy", "dy", "dy").alias("yy"), less("xy", "dx", "dy").alias("xy"))
+    lives = lambda s, m: F.sqrt(F.greatest(s, F.lit(0.0))) > 1e-13 * F.sqrt("n") * (1 + F.abs(m))
+    spread = F.when(lives("xx", "mx") & lives("yy", "my"), F.sqrt(F.greatest("xx", F.lit(0.0))) * F.sqrt(F.greatest("yy", F.lit(0.0))))
+    return train.select("iter", "fold", "edge_id", "n", F.try_divide("xy", spread).alias("r"))
+
+
+def left_out_correlations(rows: DataFrame, by: list[str]) -> DataFrame:
+    """(by..., fold, r): correlation of value and y without the rows of one fold each. rows: (by..., fold, value, y); both are centred by their group's means first."""
+    group = W.partitionBy(*by)
+    centred = rows.withColumns({c: F.col(c) - F.avg(c).over(group) for c in ("value", "y")})
+    own = centred.groupBy(*by, "fold").agg(*moments("value", "y"))
+    return own.select(*by, "fold", pearson(*(F.sum(m).over(group) - F.col(m) for m in MOMENTS)).alias("r"))
+
+
+def weighted_correlations(rows: DataFrame, by: list[str], weight: str) -> DataFrame:
+    """(by..., r): correlation of value and y of rows that count `weight` times."""
+    n, x, y = F.col(weight), F.col("value"), F.col("y")
+    sums = [F.sum(n * t).alias(m) for m, t in zip(MOMENTS, (F.lit(1.0), x, y, x * y, x * x, y * y), strict=True)]
+    return rows.groupBy(*by).agg(*sums).select(*by, pearson(*(F.col(m) for m in MOMENTS)).alias("r"))
 
 
 def select_edges(correlations: DataFrame, p: float, sizes: list[int], rank: int = 0) -> DataFrame:

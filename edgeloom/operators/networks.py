@@ -50,3 +50,26 @@ def stability(correlations: DataFrame, masks: DataFrame, need: int) -> DataFrame
     votes = masks.groupBy("iter", "edge_id", "sign").agg(F.count("*").alias("votes"))
     summed = votes.groupBy("edge_id", "sign").agg(F.sum("votes").alias("folds"), F.count_if(F.col("votes") >= need).alias("partitions"))
     return summed.join(correlations.groupBy("edge_id").agg(F.avg("r").alias("mean_r")), "edge_id")
+
+
+def edge_layout(cells: DataFrame, corr_type: str = "pearson", eps: float = 2.0**-52) -> tuple[DataFrame, int]:
+    """((subject_row, node_i, node_j, correlated, summed), divisor) of full matrices (subject_row, node_i, node_j, value).
+
+    One edge a pair of nodes (node_i < node_j, divisor 1) where the diagonal is constant over subjects and mirrored cells say the same: for Pearson they differ
+    by 64 eps of the largest value at most, for Spearman they have the same ranks over subjects. Then the mirrored mean is summed; Pearson correlates it too, Spearman the upper
+    side, whose order is exact. Otherwise both triangles and the diagonal stay and sums are halved (divisor 2). A pair that lacks a side counts as different.
+    """
+    i, j, v = F.col("node_i"), F.col("node_j"), F.col("value")
+    pairs = cells.filter(i != j).groupBy("subject_row", F.least(i, j).alias("node_i"), F.greatest(i, j).alias("node_j")).agg(F.max(F.when(i < j, v)).alias("upper"), F.max(F.when(i > j, v)).alias("lower"))
+    diagonal = cells.filter(i == j).groupBy("node_i").agg((F.min("value") == F.max("value")).alias("constant"))
+    if corr_type == "spearman":
+        ranked = pairs.withColumns({"a": stats.average_rank("upper", "node_i", "node_j"), "b": stats.average_rank("lower", "node_i", "node_j")})
+        match = ranked.agg(F.bool_and(F.coalesce((F.col("a") == F.col("b")) & F.col("upper").isNotNull() & F.col("lower").isNotNull(), F.lit(False))).alias("match"))
+    else:
+        gap = F.max(F.coalesce(F.abs(F.col("upper") - F.col("lower")), F.lit(float("inf"))))
+        match = pairs.agg((gap <= 64 * eps * F.greatest(F.lit(1.0), F.max(F.abs("upper")), F.max(F.abs("lower")))).alias("match"))
+    decided = match.join(diagonal.agg(F.bool_and("constant").alias("constant")), how="cross").first()  # one row each
+    if decided["match"] is not False and decided["constant"] is not False:
+        mean = (F.col("upper") + F.col("lower")) / 2
+        return pairs.select("subject_row", "node_i", "node_j", (F.col("upper") if corr_type == "spearman" else mean).alias("correlated"), mean.alias("summed")), 1
+    return cells.select("subject_row", "node_i", "node_j", v.alias("correlated"), v.alias("summed")), 2

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stats import correlation, critical_r, exact, mse
-from . import engine
+from . import engine, kernel
 
 
 def _min_norm(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -72,8 +72,122 @@ def transfer(masks: DataFrame, edges: DataFrame, outcome: DataFrame, test_edges:
     asked = tests.withColumnRenamed("person", "held").select("iter", "condition", "held", "y", levels)
     tested = asked.join(seen, [*keys, "condition"], "left").select(*keys, "condition", "y", *zero)
     predicted = engine.predict(tested.withColumn("subject_row", F.col("condition")), models, keys, F.lit(True)).withColumnRenamed("subject_row", "condition")
+    return measured(predicted)
+
+
+def measured(predicted: DataFrame) -> DataFrame:
+    """(threshold, iter, condition, model, r, mse, baseline_mse) of predictions (threshold, iter, condition, y, positive, negative, combined, baseline)."""
     long = predicted.select("threshold", "iter", "condition", "y", "baseline", F.explode(F.array(*(F.struct(F.lit(m).alias("model"), F.col(m).alias("predicted")) for m in ("positive", "negative", "combined")))).alias("m")).select("threshold", "iter", "condition", "y", "baseline", "m.*")
     by = [F.col(c) for c in ("threshold", "iter", "model")]
     sets = long.groupingSets([[*by, F.col("condition")], by], *by, F.col("condition"))
-    measured = sets.agg(exact(correlation("predicted", "y"), 10).alias("r"), exact(mse("y", "predicted"), 10).alias("mse"), mse("y", "baseline").alias("baseline_mse"))
-    return measured.withColumn("condition", F.coalesce("condition", F.lit("pooled")))
+    found = sets.agg(exact(correlation("predicted", "y"), 10).alias("r"), exact(mse("y", "predicted"), 10).alias("mse"), mse("y", "baseline").alias("baseline_mse"))
+    return found.withColumn("condition", F.coalesce("condition", F.lit("pooled")))
+
+
+class _People:
+    """What every task needs: people, iterations, scores (people by iterations), thresholds with critical values, conditions."""
+
+    def __init__(self, outcome: DataFrame, thresholds: list[float], conditions: list[str]):
+        rows = outcome.select("iter", "person", "y").toPandas()  # a score a person and iteration
+        self.people, self.iters = np.sort(rows["person"].unique()), np.sort(rows["iter"].unique())
+        self.y = np.full((len(self.people), len(self.iters)), np.nan)
+        self.y[np.searchsorted(self.people, rows["person"]), np.searchsorted(self.iters, rows["iter"])] = rows["y"]
+        if np.isnan(self.y).any():
+            raise ValueError("a person lacks a score")
+        self.thresholds, self.conditions = thresholds, conditions
+        self.cuts = [critical_r(t, len(self.people) - 3) for t in thresholds]
+
+    def masks(self, x: np.ndarray, at: int) -> np.ndarray:
+        """Correlations of edges (rows) with the scores of one iteration when each person (columns) is left out: sums of all less the person's own terms."""
+        n, y = len(self.people) - 1, self.y[:, at] - self.y[:, at].mean()
+        c = (x - x.mean(0)).T
+        own = c * y
+        both = n * (own.sum(1, keepdims=True) - own) - c * y
+        sxx, syy = n * ((c * c).sum(1, keepdims=True) - c * c) - c * c, n * (y @ y - y * y) - y * y
+        live = (sxx > 1e-20 * n * n * (1 + np.abs(x).max(0)[:, None] ** 2)) & (syy > 0)
+        return np.where(live, both / np.sqrt(np.where(live, sxx * np.maximum(syy, 1e-300), 1.0)), 0.0)
+
+    def strengths(self, x: np.ndarray, tests: list[np.ndarray], at: int) -> Iterator[pd.DataFrame]:
+        """Sums over the mask of each left-out person, for everybody (pos, neg) and for that person in each condition (seen_pos, seen_neg); one frame a threshold."""
+        r = self.masks(x, at)
+        for t, cut in enumerate(self.cuts):
+            f = pd.DataFrame({"t": t, "at": at, "held": np.arange(len(self.people))})
+            for name, mask in (("pos", r > cut), ("neg", r < -cut)):
+                m = mask.astype(float)
+                f[name] = list((x @ m).T)
+                f[f"seen_{name}"] = list(np.stack([np.einsum("pe,ep->p", v, m) for v in tests], 1))
+            yield f
+
+    def predictions(self, f: pd.DataFrame) -> pd.DataFrame:
+        """Models of everybody but the person left out, tried on that person in each condition: moments of all less the person's own."""
+        rows, own, n = np.arange(len(f)), f["held"].to_numpy(), len(self.people) - 1
+        less = lambda a: (a.sum(1) - a[rows, own]) / n
+        p, q, y = np.stack(f["pos"]), np.stack(f["neg"]), self.y[:, f["at"]].T
+        mp, mn, my = less(p), less(q), less(y)
+        p, q, y = p - mp[:, None], q - mn[:, None], y - my[:, None]
+        moments = pd.DataFrame({"mp": mp, "mn": mn, "my": my, "vp": less(p * p), "vn": less(q * q), "cpn": less(p * q), "cpy": less(p * y), "cny": less(q * y)})
+        m = next(_min_norm(iter([moments])))
+        made = []
+        for k, name in enumerate(self.conditions):
+            pos, neg = (np.stack(f[c])[:, k] for c in ("seen_pos", "seen_neg"))
+            made.append(pd.DataFrame({"threshold": np.array(self.thresholds)[f["t"]], "iter": self.iters[f["at"]], "person": self.people[own], "condition": name, "positive": m.ap + m.bp * pos, "negative": m.an + m.bn * neg, "combined": m.ac + m.cp * pos + m.cn * neg, "baseline": m.base}))
+        return pd.concat(made, ignore_index=True)
+
+
+#: Edges of a block; bytes of strengths that a group of the matrix form may give at once.
+BLOCK, BYTES = 2_048, 1 << 28
+
+
+def block_predictions(edges: DataFrame, outcome: DataFrame, test_edges: DataFrame, thresholds: list[float], block: int = BLOCK) -> DataFrame:
+    """(threshold, iter, person, condition, positive, negative, combined, baseline): each person's scores as models of all others predict them.
+
+    The matrix form of `left_out_masks` and `transfer`: a task holds a block of edges and a part of the iterations; the masks of all left-out models are sign
+    matrices, their fits take a person's own terms off the sums. If one block holds all edges, models are fitted where strengths are made; otherwise strengths of
+    one mask are an array, added up over blocks. edges: (person, edge_id, value), outcome: (iter, person, y), test_edges: (condition, person, edge_id, value).
+    """
+    spark = edges.sparkSession
+    conditions = sorted(r.condition for r in test_edges.select("condition").distinct().collect())  # a few names
+    every = edges.select(F.lit(None).cast("string").alias("condition"), "person", "edge_id", "value").unionByName(test_edges.select("condition", "person", "edge_id", "value"))
+    every = every.withColumn("block", F.expr(f"edge_id div {block}"))
+    blocks = every.select("block").distinct().count()
+    about = _People(outcome, thresholds, conditions)
+    sent = spark.sparkContext.broadcast(about)
+    n, iters = len(about.people), len(about.iters)
+    parts = max(1, -(-spark.sparkContext.defaultParallelism // max(1, blocks)))
+    if blocks > 1:
+        parts = max(parts, -(-iters * len(thresholds) * n * n * 16 // BYTES))
+    parts = min(parts, max(1, iters))
+    grouped = every.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).groupBy("block", "part")
+
+    def matrices(frame: pd.DataFrame) -> tuple[_People, list[np.ndarray], range]:
+        own = sent.value
+        found = [frame[frame["condition"].isna() if c is None else frame["condition"] == c].pivot(index="person", columns="edge_id", values="value").reindex(own.people).to_numpy() for c in (None, *own.conditions)]
+        if any(np.isnan(x).any() for x in found) or len({x.shape for x in found}) > 1:
+            raise ValueError("a person lacks an edge")
+        return own, found, range(int(frame["part"].iloc[0]), len(own.iters), parts)
+
+    types = dict(outcome.dtypes)
+    final = f"threshold double, iter {types['iter']}, person {types['person']}, condition string, positive double, negative double, combined double, baseline double"
+    if blocks <= 1:
+
+        def whole(frame: pd.DataFrame) -> pd.DataFrame:
+            own, (x, *tests), places = matrices(frame)
+            return pd.concat([own.predictions(f) for at in places for f in own.strengths(x, tests, at)], ignore_index=True)
+
+        return grouped.applyInPandas(whole, final)
+
+    def partial(frame: pd.DataFrame) -> pd.DataFrame:
+        own, (x, *tests), places = matrices(frame)
+        return pd.concat([f for at in places for f in own.strengths(x, tests, at)], ignore_index=True)
+
+    keys, columns = ["t", "at", "held"], ["pos", "neg", "seen_pos", "seen_neg"]
+    schema = "t int, at int, held int, " + ", ".join(f"{c} array<double>" for c in columns)
+    sums = grouped.applyInPandas(partial, schema).mapInPandas(kernel.added_up(keys, columns), schema)
+    added = sums.groupBy(*keys).agg(*(kernel.array_sum(c, n if c in ("pos", "neg") else len(conditions)) for c in columns))
+    return added.mapInPandas(lambda frames: (sent.value.predictions(f) for f in frames if len(f)), final)
+
+
+def block_transfer(edges: DataFrame, outcome: DataFrame, test_edges: DataFrame, tests: DataFrame, thresholds: list[float], block: int = BLOCK) -> DataFrame:
+    """`transfer` in matrix form, masks included; tests: (iter, condition, person, y)."""
+    predicted = block_predictions(edges, outcome, test_edges, thresholds, block)
+    return measured(predicted.join(tests.select("iter", "condition", "person", "y"), ["iter", "condition", "person"]))

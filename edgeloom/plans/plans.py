@@ -5,6 +5,7 @@ Every random order is that of md5(name:seed:...), so a plan is data that any eng
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -71,13 +72,52 @@ def partitions(subjects: DataFrame, k: int, first_seed: int, last_seed: int) ->
     return every.select("seed", "subject_row", ((F.row_number().over(order) - 1) % k).cast("int").alias("fold"))
 
 
-def freedman_lane(outcomes: DataFrame, permuted: DataFrame, covariate: str, by: list[str]) -> DataFrame:
-    """(by..., iter, subject_row, y): values fitted on the covariate plus permuted residuals; outcomes share the order of `permuted`.
+def _least_norm(k: int):
+    """Mapper over groups: slopes of y on k centred covariates from their covariances, least in norm where some repeat others."""
 
-    outcomes: (by..., subject_row, covariate, y). An outcome measured in part of the subjects needs an order that keeps to that part.
+    def run(frames):
+        for f in frames:
+            gram = np.stack([np.stack([f[f"zz{max(i, j)}_{min(i, j)}"].to_numpy() for j in range(k)], 1) for i in range(k)], 1).astype(float)
+            right = np.stack([f[f"zy{j}"].to_numpy() for j in range(k)], 1).astype(float)
+            scale = np.sqrt(np.maximum(np.einsum("njj->nj", gram), 0))
+            scale[scale == 0] = np.inf
+            value, vector = np.linalg.eigh(gram / (scale[:, :, None] * scale[:, None, :]))
+            good = value > 1e-10
+            inverse = np.where(good, 1 / np.where(good, value, 1), 0)
+            slopes = np.einsum("nij,nj,nkj,nk->ni", vector, inverse, vector, right / scale) / scale
+            means = np.stack([f[f"m{j}"].to_numpy() for j in range(k)], 1)
+            kept = [c for c in f.columns if not c.startswith(("zz", "zy")) and c not in {f"m{j}" for j in range(k)}]
+            yield f[kept].assign(means=list(means), slopes=list(slopes), rank=good.sum(1))
+
+    return run
+
+
+def fitted_values(outcomes: DataFrame, covariates: list[str], by: list[str]) -> DataFrame:
+    """(by..., subject_row, y, fitted, rank): least squares of y on an intercept and all covariates, by group; rank counts covariates that add something.
+
+    One aggregate gives each group's covariances; a constant or repeated covariate changes nothing.
+    """
+    k, c = len(covariates), [F.col(name).cast("double") for name in covariates]
+    cells = {f"zz{i}_{j}": F.covar_pop(c[i], c[j]) for i in range(k) for j in range(i + 1)} | {f"zy{j}": F.covar_pop(c[j], F.col("y")) for j in range(k)} | {f"m{j}": F.avg(c[j]) for j in range(k)}
+    summed = outcomes.groupBy(*by).agg(F.avg("y").alias("my"), *(v.alias(name) for name, v in cells.items()))
+    keys = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in summed.schema.fields if f.name in by)
+    fit = summed.mapInPandas(_least_norm(k), f"{keys}, my double, means array<double>, slopes array<double>, rank int")
+    part = sum((F.col("slopes")[j] * (c[j] - F.col("means")[j]) for j in range(k)), F.lit(0.0))
+    return outcomes.join(fit, by).select(*by, "subject_row", "y", (F.col("my") + part).alias("fitted"), "rank")
+
+
+def freedman_lane(outcomes: DataFrame, permuted: DataFrame, covariates: str | list[str], by: list[str]) -> DataFrame:
+    """(by..., iter, subject_row, y): values fitted on the covariates plus permuted residuals; outcomes share the order of `permuted`.
+
+    outcomes: (by..., subject_row, covariates..., y). An outcome measured in part of the subjects needs an order that keeps to that part.
     """
-    fit = outcomes.groupBy(*by).agg(F.avg("y").alias("my"), F.avg(covariate).alias("mc"), F.coalesce(F.try_divide(F.covar_pop(covariate, "y"), F.var_pop(covariate)), F.lit(0.0)).alias("slope"))
-    reduced = outcomes.join(fit, by).select(*by, "subject_row", "y", (F.col("my") + F.col("slope") * (F.col(covariate) - F.col("mc"))).alias("fitted"))
+    reduced = fitted_values(outcomes, [covariates] if isinstance(covariates, str) else covariates, by)
     source = reduced.select(*by, F.col("subject_row").alias("source_row"), (F.col("y") - F.col("fitted")).alias("residual"))
     here = reduced.select(*by, "subject_row", "fitted")
     return permuted.select("iter", "subject_row", "source_row").join(source, "source_row").join(here, [*by, "subject_row"]).select(*by, "iter", "subject_row", (F.col("fitted") + F.col("residual")).alias("y"))
+
+
+def sample_folds(samples: DataFrame, k: int, by: list[str], seed: str) -> DataFrame:
+    """samples with fold: each sample (a value of `by`) is cut into k folds of its own, by the order of its seed, a column of `by`."""
+    order = W.partitionBy(*by).orderBy(draw("cv", F.col(seed).cast("string"), F.col("subject_row").cast("string")), "subject_row")
+    return samples.withColumn("fold", ((F.row_number().over(order) - 1) % k).cast("int"))

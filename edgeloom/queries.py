@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .functions import stats
+from .functions import ranks, stats
 from .functions.stats import exact
 from .operators import engine
 from .plans import plans
@@ -131,11 +131,11 @@ def models(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("m14_study_held_out", BASE + f""",
 corr AS (SELECT h.study_id AS held, e.edge_id, covar_pop(e.value, s.y) / nullif(stddev_pop(e.value) * stddev_pop(s.y), 0) AS r, count(*) AS n FROM edges e JOIN subjects s USING (subject_row) JOIN (SELECT DISTINCT study_id FROM subjects) h ON s.study_id <> h.study_id GROUP BY ALL)
-SELECT held, edge_id, n, round(r, 6) + 0.0 AS r FROM corr WHERE r > 0.2""")
+SELECT held, edge_id, n, round(r, 6) + 0.0 AS r FROM corr""")
 def study_held_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _subjects(spark, sf_dir).select("subject_row", F.col("study_id").alias("fold"), "y", F.lit(1).alias("iter"))
     found = engine.fold_correlations(readers.connectome(_vectors(spark, sf_dir)), s)
-    return found.filter("r > 0.2").select(F.col("fold").alias("held"), "edge_id", F.col("n").cast("long").alias("n"), exact("r").alias("r"))
+    return found.select(F.col("fold").alias("held"), "edge_id", F.col("n").cast("long").alias("n"), exact("r").alias("r"))
 
 
 @query("m06_spearman_edges", BASE + """,
@@ -215,26 +215,38 @@ def nested_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 num AS (SELECT subject_row, row_number() OVER (ORDER BY subject_row) - 1 AS place, count(*) OVER () AS size FROM subjects),
 slots AS (SELECT replicate, place AS slot, size FROM num, (SELECT unnest(generate_series(1, 20)) AS replicate)),
 drawn AS (SELECT replicate, slot, CAST('0x' || substr(md5('boot:11:' || replicate || ':' || slot), 1, 12) AS BIGINT) % size AS place FROM slots),
-v AS (SELECT replicate, s.y, e.value FROM drawn JOIN num USING (place) JOIN subjects s USING (subject_row) JOIN edges e ON e.subject_row = s.subject_row AND e.edge_id = 8)
-SELECT replicate, round(covar_pop(value, y) / (stddev_pop(value) * stddev_pop(y)), 6) + 0.0 AS r FROM v GROUP BY replicate""")
+v AS (SELECT replicate, e.edge_id, s.y, e.value FROM drawn JOIN num USING (place) JOIN subjects s USING (subject_row) JOIN edges e ON e.subject_row = s.subject_row)
+SELECT replicate, edge_id, round(covar_pop(value, y) / (stddev_pop(value) * stddev_pop(y)), 6) + 0.0 AS r FROM v GROUP BY replicate, edge_id""")
 def bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = readers.behavior(_vectors(spark, sf_dir))
-    values = readers.connectome(_vectors(spark, sf_dir)).filter("edge_id = 8").join(s, "subject_row")
-    drawn = plans.bootstraps(s, 20).join(values, "subject_row")
-    return drawn.groupBy("replicate").agg(exact(stats.correlation("value", "y")).alias("r"))
+    """Correlations of every edge over 20 draws of people."""
+    s, v = _with_scores(spark, sf_dir)
+    return _rounded(_drawn(plans.bootstraps(s, 20), v, ["edge_id"]), "r")
 
 
 @query("w12_jackknife", BASE + """,
-v AS (SELECT e.subject_row, value AS x, y FROM edges e JOIN subjects USING (subject_row) WHERE edge_id = 8)
-SELECT a.subject_row, round(covar_pop(b.x, b.y) / (stddev_pop(b.x) * stddev_pop(b.y)), 6) + 0.0 AS r FROM v a JOIN v b ON a.subject_row <> b.subject_row GROUP BY a.subject_row""")
+v AS (SELECT e.edge_id, e.subject_row, value AS x, y FROM edges e JOIN subjects USING (subject_row))
+SELECT a.edge_id, a.subject_row, round(covar_pop(b.x, b.y) / (stddev_pop(b.x) * stddev_pop(b.y)), 6) + 0.0 AS r FROM v a JOIN v b ON a.edge_id = b.edge_id AND a.subject_row <> b.subject_row GROUP BY a.edge_id, a.subject_row""")
 def jackknife(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals less a subject's own moments: one pass, no theta join."""
-    v = readers.connectome(_vectors(spark, sf_dir)).filter("edge_id = 8").join(readers.behavior(_vectors(spark, sf_dir)), "subject_row")
-    whole = v.agg(*engine.moments("value", "y"))
+    """Totals of every edge less a subject's own moments: no theta join."""
+    return _rounded(_left_out(_with_scores(spark, sf_dir)[1], ["edge_id"]), "r")
+
+
+def _drawn(draws: DataFrame, v: DataFrame, by: list[str]) -> DataFrame:
+    """(by..., replicate, r): correlations of drawn people. Equal draws of a replicate are one row with its count, so an edge is read once a person drawn."""
+    times = draws.groupBy("replicate", "subject_row").agg(F.count("*").cast("double").alias("times"))
+    return engine.weighted_correlations(v.join(times, "subject_row"), [*by, "replicate"], "times")
+
+
+def _left_out(v: DataFrame, by: list[str]) -> DataFrame:
+    """(by..., subject_row, r): correlations without one person each, from totals less that person's own terms."""
     x, y = F.col("value"), F.col("y")
     own = (F.lit(1.0), x, y, x * y, x * x, y * y)
-    joined = v.join(F.broadcast(whole))  # one row
-    return joined.select("subject_row", exact(stats.pearson(*(F.col(m) - o for m, o in zip(engine.MOMENTS, own, strict=True)))).alias("r"))
+    return v.join(v.groupBy(*by).agg(*engine.moments("value", "y")), by).select(*by, "subject_row", stats.pearson(*(F.col(m) - o for m, o in zip(engine.MOMENTS, own, strict=True))).alias("r"))
+
+
+def _with_scores(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    s = readers.behavior(_vectors(spark, sf_dir)).select("subject_row", "y")
+    return s, readers.connectome(_vectors(spark, sf_dir)).select("subject_row", "edge_id", "value").join(s, "subject_row")
 
 
 @query("j09_fold_sizes", BASE + ", h AS (SELECT DISTINCT fold AS held FROM folds) SELECT held, count(*) FILTER (fold <> held) AS n_train, count(*) FILTER (fold = held) AS n_test FROM folds, h GROUP BY held")
@@ -261,7 +273,7 @@ SELECT family, l_partkey, round(least(1.0, min(p * m / k) OVER (PARTITION BY fam
 def benjamini_hochberg(spark: SparkSession, sf_dir: str) -> DataFrame:
     l = readers.table(spark, sf_dir, "lineitem").groupBy("l_partkey", F.col("l_returnflag").alias("family"))  # noqa: E741
     p = l.agg(F.round(1.0 / (1 + F.count("*") + F.sum("l_quantity") / 100), 9).alias("p"))
-    return stats.benjamini_hochberg(p, "p", ["family"], ["l_partkey"]).select("family", "l_partkey", exact("q").alias("q"))
+    return ranks.benjamini_hochberg(p, "p", ["family"], ["l_partkey"]).select("family", "l_partkey", exact("q").alias("q"))
 
 
 @query("w01_average_ranks", "SELECT l_returnflag, l_quantity, count(*) AS n, min(rank_) AS rank FROM (SELECT l_returnflag, l_quantity, rank() OVER (PARTITION BY l_returnflag ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_returnflag, l_quantity) - 1) / 2.0::DOUBLE AS rank_ FROM lineitem) GROUP BY ALL")
@@ -282,7 +294,7 @@ def tie_adjustment(spark: SparkSession, sf_dir: str) -> DataFrame:
 w AS (SELECT *, least(greatest(n * 0.025 + 0.5, 1), n) AS a, least(greatest(n * 0.5 + 0.5, 1), n) AS b, least(greatest(n * 0.975 + 0.5, 1), n) AS c FROM r)
 SELECT l_returnflag, round(sum(v * greatest(0, 1 - abs(i - a))), 4) + 0.0 AS q025, round(sum(v * greatest(0, 1 - abs(i - b))), 4) + 0.0 AS q5, round(sum(v * greatest(0, 1 - abs(i - c))), 4) + 0.0 AS q975 FROM w GROUP BY l_returnflag""")
 def hazen_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = stats.hazen_at_scale(readers.table(spark, sf_dir, "lineitem"), "l_extendedprice", ["l_returnflag"], [0.025, 0.5, 0.975])
+    q = ranks.hazen(readers.table(spark, sf_dir, "lineitem"), "l_extendedprice", ["l_returnflag"], [0.025, 0.5, 0.975])
     return q.select("l_returnflag", *(exact(c, 4).alias(c) for c in ("q025", "q5", "q975")))
 
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from edgeloom import inference_queries as inference
 from edgeloom import queries as core
+from edgeloom import whole_queries as inference
 from edgeloom.functions import stats
 from edgeloom.sources import readers
 

@@ -205,3 +205,125 @@ def test_partial_correlations_equal_residuals(spark):
             assert row["r"] is None
         else:
             assert row["r"] == pytest.approx(np.corrcoef(rest(x[keep, row["edge_id"]]), rest(y[keep]))[0, 1], abs=1e-8)
+
+
+def test_ranks_of_large_groups_equal_windows(spark):
+    """Range partitions against one window a group: ties, nulls in `by`, a group that holds most rows, more partitions than values."""
+    from edgeloom.functions import ranks
+
+    draw = np.random.default_rng(4)
+    rows = [(None if k % 11 == 0 else "big" if k % 7 else f"g{k % 3}", k, float(draw.integers(1, 40)) / 40) for k in range(600)]
+    df = spark.createDataFrame(rows, "family string, k long, p double")
+    slow = {r.k: r.q for r in stats.benjamini_hochberg(df, "p", ["family"], ["k"]).collect()}
+    for partitions in (1, 7, 40):
+        fast = {r.k: r.q for r in ranks.benjamini_hochberg(df, "p", ["family"], ["k"], partitions=partitions).collect()}
+        assert fast.keys() == slow.keys() and all(fast[k] == pytest.approx(slow[k], abs=1e-15) for k in slow)
+        numbers = ranks.numbered(df, ["family"], ["p", "k"], partitions).collect()
+        for family in {r.family for r in numbers}:
+            own = sorted((r for r in numbers if r.family == family), key=lambda r: (r.p, r.k))
+            assert [r["__number"] for r in own] == list(range(1, len(own) + 1)) and {r["__size"] for r in own} == {len(own)}
+        shares = [0.025, 0.5, 0.975]
+        a = {r.family: r for r in stats.hazen_at_scale(df, "p", ["family"], shares).collect()}
+        b = {r.family: r for r in ranks.hazen(df, "p", ["family"], shares, partitions).collect()}
+        assert a.keys() == b.keys() and all(tuple(a[f])[1:] == pytest.approx(tuple(b[f])[1:]) for f in a)
+    assert len({r["__part"] for r in ranks.numbered(df, ["family"], ["p", "k"], 40).collect() if r.family == "big"}) > 10
+    assert ranks.benjamini_hochberg(df.limit(0), "p", ["family"], ["k"]).count() == 0
+
+
+@pytest.mark.parametrize("block", [2_048, 5])
+def test_transfer_in_matrix_form(spark, block):
+    """Masks, fits and tests of left-out models by matrices equal the relational form, in one block of edges and in several."""
+    draw = np.random.default_rng(9)
+    n, edges, iters = 18, 14, 3
+    x = {c: draw.normal(size=(n, edges)) for c in ("train", "a", "b")}
+    y = {c: x[c][:, :3].sum(1) + draw.normal(size=n) for c in x}
+    x["train"][:, 6] = 2.5  # never selected
+    cells = spark.createDataFrame([(c, p, e, float(x[c][p, e])) for c in x for p in range(n) for e in range(edges)], "condition string, person long, edge_id long, value double")
+    orders = [np.arange(n), *(draw.permutation(n) for _ in range(iters - 1))]
+    scores = spark.createDataFrame([(i + 1, c, p, float(y[c][o[p]])) for i, o in enumerate(orders) for c in x for p in range(n)], "iter int, condition string, person long, y double")
+    train, outcome = cells.filter("condition = 'train'").drop("condition"), scores.filter("condition = 'train'").drop("condition")
+    tests, test_cells, levels = scores.filter("condition <> 'train'"), cells.filter("condition <> 'train'"), [0.2, 0.02]
+    slow = transfer.transfer(transfer.left_out_masks(train, outcome, levels, n), train, outcome, test_cells, tests, levels).collect()
+    fast = transfer.block_transfer(train, outcome, test_cells, tests, levels, block).collect()
+    key = lambda r: (r.threshold, r.iter, r.condition, r.model)
+    a, b = ({key(r): (r.r, r.mse, r.baseline_mse) for r in rows} for rows in (slow, fast))
+    assert a.keys() == b.keys() and len(a) == 2 * iters * 3 * 3
+    for k in a:
+        assert b[k] == pytest.approx(a[k], abs=1e-9) or (a[k][0] is None and b[k][0] is None)
+
+
+def test_freedman_lane_of_a_design_equals_numpy(spark):
+    draw = np.random.default_rng(6)
+    rows = [(o, k, float(k % 3 == 1), float(k % 3 == 2), float(3 - 2 * (k % 3 == 1) - (k % 3 == 2)), float(draw.normal()), 1.0, float(draw.normal())) for o in ("u", "v") for k in range(40) if o == "u" or k >= 10]
+    names = ["s2", "s3", "site", "age", "one"]
+    df = spark.createDataFrame(rows, "outcome string, subject_row long, s2 double, s3 double, site double, age double, one double, y double")
+    blocks = spark.createDataFrame([(k, "extra" if k < 10 else "shared") for k in range(40)], "subject_row long, block string")
+    order = plans.permutations(blocks, 4, by=("block",))
+    made = {(r.outcome, r.iter, r.subject_row): r.y for r in plans.freedman_lane(df, order, names, ["outcome"]).collect()}
+    assert {r["rank"] for r in plans.fitted_values(df, names, ["outcome"]).collect()} == {3}
+    source = {(r.iter, r.subject_row): r.source_row for r in order.collect()}
+    for o in ("u", "v"):
+        own = [r for r in rows if r[0] == o]
+        a, y = np.array([[1.0, *r[2:7]] for r in own]), np.array([r[7] for r in own])
+        fitted = a @ np.linalg.lstsq(a, y, rcond=None)[0]
+        at = {r[1]: i for i, r in enumerate(own)}
+        for (i, subject), s in source.items():
+            if subject in at:
+                assert made[o, i, subject] == pytest.approx(fitted[at[subject]] + y[at[s]] - fitted[at[s]], abs=1e-9)
+    assert all(made[r[0], 1, r[1]] == pytest.approx(r[7]) for r in rows)
+
+
+def test_intervals_of_clusters(spark):
+    """Draws of people keep all their rows; the jackknife leaves a person out; bias-corrected ends follow printed normal quantiles."""
+    from edgeloom import whole_queries as whole
+
+    draw = np.random.default_rng(7)
+    rows = [(8, k // (1 + k % 2), float(draw.normal()), float(draw.normal())) for k in range(60)]
+    df = spark.createDataFrame(rows, "edge_id long, person long, value double, y double")
+    people = sorted({r[1] for r in rows})
+    drawn = plans.bootstraps(df.selectExpr("person AS subject_row").distinct(), 30).collect()
+    reps = {r.replicate: r.r for r in whole.cluster_replicates(df, "person", ["edge_id"], 30).collect()}
+    for k in reps:
+        picked = [r for d in drawn if d.replicate == k for r in rows if r[1] == d.subject_row]
+        assert reps[k] == pytest.approx(np.corrcoef([r[2] for r in picked], [r[3] for r in picked])[0, 1])
+    left = {r.person: r.r for r in whole.cluster_left_out(df, "person", ["edge_id"]).collect()}
+    assert sorted(left) == people
+    for p in people:
+        kept = [r for r in rows if r[1] != p]
+        assert left[p] == pytest.approx(np.corrcoef([r[2] for r in kept], [r[3] for r in kept])[0, 1])
+    # replicates 0.001, 0.002, ...: 841 of 1000 below the point give z0 = 1 (printed: 0.8413), no acceleration; ends are those of 0.5160 and 0.9999
+    flat = spark.createDataFrame([(1, k / 1000) for k in range(1, 1001)], "edge_id long, r double")
+    point, same = spark.createDataFrame([(1, 0.8413)], "edge_id long, r double"), spark.createDataFrame([(1, 0.1), (1, 0.1)], "edge_id long, r double")
+    found = stats.bias_corrected(flat, point, same, ["edge_id"]).first()
+    z0 = 0.9986  # of 0.841
+    printed = {0.0372: 0.5148, 3.9572: 0.99996}  # 2 z0 - 1.96 and 2 z0 + 1.96 in a table of the normal distribution
+    assert [round(2 * z0 + s * 1.96, 4) for s in (-1, 1)] == list(printed)
+    assert (found.bca_low, found.bca_high) == pytest.approx(tuple(v + 0.0005 for v in printed.values()), abs=1e-3)
+
+
+def test_layout_of_edges_takes_each_branch(spark):
+    draw = np.random.default_rng(3)
+    base = draw.normal(size=(9, 4, 4))
+    even = (base + base.transpose(0, 2, 1)) / 2
+    even[:, range(4), range(4)] = 1.0
+
+    def layout(x, kind):
+        cells = spark.createDataFrame([(s, i, j, float(x[s, i, j])) for s in range(len(x)) for i in range(4) for j in range(4)], "subject_row long, node_i long, node_j long, value double")
+        made, divisor = networks.edge_layout(cells, kind)
+        return {(r.subject_row, r.node_i, r.node_j): (r.correlated, r.summed) for r in made.collect()}, divisor
+
+    near = even.copy()
+    near[:, 2, 1] += 1e-14
+    far = even.copy()
+    far[4, 2, 1] += 1e-9
+    bent, uneven = even.copy(), even.copy()
+    for i in range(4):
+        for j in range(i):
+            bent[:, i, j] = np.exp(even[:, i, j])
+    uneven[3, 2, 2] = 1.5
+    for x, kind, unique in ((even, "pearson", True), (near, "pearson", True), (far, "pearson", False), (bent, "pearson", False), (bent, "spearman", True), (uneven, "pearson", False), (base, "spearman", False)):
+        found, divisor = layout(x, kind)
+        assert (divisor, len(found)) == ((1, 9 * 6) if unique else (2, 9 * 16))
+        for (s, i, j), (correlated, summed) in found.items():
+            mean = (x[s, i, j] + x[s, j, i]) / 2
+            assert (correlated, summed) == ((x[s, i, j] if kind == "spearman" else mean, mean) if unique else (x[s, i, j], x[s, i, j]))
