@@ -437,8 +437,11 @@ def matrix_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("m05_critical_values")
 def critical_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = ", ".join(f"({p}D, {df}, {stats.critical_r(p, df)!r}D)" for p in (0.05, 0.01, 0.005, 0.001) for df in (10, 20, 46, 65, 100, 448))
-    return spark.sql(f"SELECT * FROM VALUES {rows} AS t(p, df, r)")
+    """Critical |r| of each fold's training part at four levels; sizes come from the table."""
+    sizes = fold_sizes(spark, sf_dir).select("held", "n_train")
+    found = [int(r.n_train) for r in sizes.select("n_train").distinct().collect()]  # two sizes at most
+    levels = F.explode(F.array(*(F.struct(F.lit(p).alias("p"), engine.critical(F.col("n_train"), p, found).alias("r")) for p in (0.05, 0.01, 0.005, 0.001))))
+    return sizes.select("held", "n_train", levels.alias("v")).select("held", "n_train", "v.p", exact("v.r").alias("r"))
 
 
 _OVERLAPS = f"""WITH o AS ({SQL["j14_mask_overlap"]}), k AS (SELECT first, second, shared, first_size AS a, second_size AS b, (SELECT count(*) FROM part) AS n FROM o),

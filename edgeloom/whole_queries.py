@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,8 +14,8 @@ from .inference_queries import _LEFT_OUT, _sessions, THRESHOLDS, TRANSFERS, mask
 from .operators import engine, kernel, networks, transfer
 from .plans import plans
 from .queries import BASE, FOLDS, ITERATIONS, P, SQL, _engine_sql, _rounded, _subjects, _TABLE, _vectors, query
-from .sources import readers
-from .sources.shared import written
+from .sources import readers, runs
+from .sources.shared import shared_folder, written
 
 #: Iterations, the observed one included; the reference's main analyses take 10,000.
 WHOLE = 100
@@ -352,3 +353,30 @@ def learning_curve(spark: SparkSession, sf_dir: str, sizes: tuple[int, ...] = tu
     unit = F.floor(F.col("iter") / (fits + 1)).cast("int")
     seen = measured.select((unit / 1000).cast("int").alias("rep"), (unit % 1000).alias("size"), (F.col("iter") % (fits + 1)).alias("iter"), "model", "r", "mse")
     return _rounded(engine.permutation_table(seen, by), "r", "p", "mse", "mse_p")
+
+
+EACH = 5
+
+
+def permutation_run(spark: SparkSession, sf_dir: str, path: str, iterations: int = ITERATIONS, units: int | None = None, compute=None) -> DataFrame:
+    """(iter, model, r, mse, unit) of m11 as a run of units of EACH iterations at path, of which `units` at most are done now; another call does the rest."""
+    edges, o = readers.connectome(_vectors(spark, sf_dir)), written(engine.outcome_table(_subjects(spark, sf_dir), _k_folds(spark, sf_dir), plans.permutations(_subjects(spark, sf_dir), iterations)), "outcome")
+    signed = runs.signature({"p": P, "folds": FOLDS, "iterations": iterations}, {"embeddings": _vectors(spark, sf_dir)}, [kernel.block_strengths, kernel.Fold, engine.measure])
+    every = range(-(-iterations // EACH))
+    own = compute or (lambda u: kernel.cross_validate(edges, o.filter(F.col("iter").between(u * EACH + 1, (u + 1) * EACH)), P))
+    return runs.resume(spark, path, signed, every if units is None else every[:units], own)
+
+
+@query("j15_resumed_permutations", SQL["m11_kfold_cpm"])
+def resumed_permutations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """m11 as a run that stops after its first unit and is taken up again: the rows of m11_kfold_cpm."""
+    path = f"{shared_folder(spark)}/run-{uuid.uuid4().hex}"
+    permutation_run(spark, sf_dir, path, units=1)
+    measured = permutation_run(spark, sf_dir, path).drop(runs.UNIT)
+    return _rounded(engine.permutation_table(measured, []), "r", "p", "mse", "mse_p")
+
+
+@query("k09_release_manifest")
+def release_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Path, size, hash and allowing pattern of the files of all tables."""
+    return runs.manifest(spark, sf_dir, ["*.parquet", "*.parquet/*.parquet"])
