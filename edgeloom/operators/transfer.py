@@ -107,29 +107,34 @@ class _People:
         live = (sxx > 1e-20 * n * n * (1 + np.abs(x).max(0)[:, None] ** 2)) & (syy > 0)
         return np.where(live, both / np.sqrt(np.where(live, sxx * np.maximum(syy, 1e-300), 1.0)), 0.0)
 
-    def strengths(self, x: np.ndarray, tests: list[np.ndarray], at: int) -> Iterator[pd.DataFrame]:
-        """Sums over the mask of each left-out person, for everybody (pos, neg) and for that person in each condition (seen_pos, seen_neg); one frame a threshold."""
-        r = self.masks(x, at)
+    def strengths(self, x: np.ndarray, tests: list[np.ndarray], at: int) -> Iterator[dict[str, np.ndarray]]:
+        """Sums over the mask of each left-out person (rows), for everybody (pos, neg) and for that person in each condition (seen_pos, seen_neg); one set a threshold."""
+        r, n = self.masks(x, at), len(self.people)
         for t, cut in enumerate(self.cuts):
-            f = pd.DataFrame({"t": t, "at": at, "held": np.arange(len(self.people))})
+            found = {"t": np.full(n, t), "at": np.full(n, at), "held": np.arange(n)}
             for name, mask in (("pos", r > cut), ("neg", r < -cut)):
                 m = mask.astype(float)
-                f[name] = list((x @ m).T)
-                f[f"seen_{name}"] = list(np.stack([np.einsum("pe,ep->p", v, m) for v in tests], 1))
-            yield f
+                found[name] = m.T @ x.T
+                found[f"seen_{name}"] = np.stack([np.einsum("pe,ep->p", v, m) for v in tests], 1)
+            yield found
 
-    def predictions(self, f: pd.DataFrame) -> pd.DataFrame:
+    def predictions(self, f: dict[str, np.ndarray]) -> pd.DataFrame:
         """Models of everybody but the person left out, tried on that person in each condition: moments of all less the person's own."""
-        rows, own, n = np.arange(len(f)), f["held"].to_numpy(), len(self.people) - 1
-        less = lambda a: (a.sum(1) - a[rows, own]) / n
-        p, q, y = np.stack(f["pos"]), np.stack(f["neg"]), self.y[:, f["at"]].T
-        mp, mn, my = less(p), less(q), less(y)
+        own, n = f["held"], len(self.people) - 1
+        rows = np.arange(len(own))
+
+        def less(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            return (np.einsum("ij,ij->i", a, b) - a[rows, own] * b[rows, own]) / n
+
+        p, q, y = f["pos"], f["neg"], self.y[:, f["at"]].T
+        one = np.ones_like(p)
+        mp, mn, my = less(p, one), less(q, one), less(y, one)
         p, q, y = p - mp[:, None], q - mn[:, None], y - my[:, None]
-        moments = pd.DataFrame({"mp": mp, "mn": mn, "my": my, "vp": less(p * p), "vn": less(q * q), "cpn": less(p * q), "cpy": less(p * y), "cny": less(q * y)})
+        moments = pd.DataFrame({"mp": mp, "mn": mn, "my": my, "vp": less(p, p), "vn": less(q, q), "cpn": less(p, q), "cpy": less(p, y), "cny": less(q, y)})
         m = next(_min_norm(iter([moments])))
         made = []
         for k, name in enumerate(self.conditions):
-            pos, neg = (np.stack(f[c])[:, k] for c in ("seen_pos", "seen_neg"))
+            pos, neg = f["seen_pos"][:, k], f["seen_neg"][:, k]
             made.append(pd.DataFrame({"threshold": np.array(self.thresholds)[f["t"]], "iter": self.iters[f["at"]], "person": self.people[own], "condition": name, "positive": m.ap + m.bp * pos, "negative": m.an + m.bn * neg, "combined": m.ac + m.cp * pos + m.cn * neg, "baseline": m.base}))
         return pd.concat(made, ignore_index=True)
 
@@ -178,13 +183,15 @@ def block_predictions(edges: DataFrame, outcome: DataFrame, test_edges: DataFram
 
     def partial(frame: pd.DataFrame) -> pd.DataFrame:
         own, (x, *tests), places = matrices(frame)
-        return pd.concat([f for at in places for f in own.strengths(x, tests, at)], ignore_index=True)
+        as_rows = lambda f: pd.DataFrame({k: v if v.ndim == 1 else list(v) for k, v in f.items()})
+        return pd.concat([as_rows(f) for at in places for f in own.strengths(x, tests, at)], ignore_index=True)[[*keys, *columns]]
 
     keys, columns = ["t", "at", "held"], ["pos", "neg", "seen_pos", "seen_neg"]
     schema = "t int, at int, held int, " + ", ".join(f"{c} array<double>" for c in columns)
     sums = grouped.applyInPandas(partial, schema).mapInPandas(kernel.added_up(keys, columns), schema)
     added = sums.groupBy(*keys).agg(*(kernel.array_sum(c, n if c in ("pos", "neg") else len(conditions)) for c in columns))
-    return added.mapInPandas(lambda frames: (sent.value.predictions(f) for f in frames if len(f)), final)
+    as_arrays = lambda f: {c: np.stack(f[c].to_list()) if c in columns else f[c].to_numpy() for c in f}
+    return added.mapInPandas(lambda frames: (sent.value.predictions(as_arrays(f)) for f in frames if len(f)), final)
 
 
 def block_transfer(edges: DataFrame, outcome: DataFrame, test_edges: DataFrame, tests: DataFrame, thresholds: list[float], block: int = BLOCK) -> DataFrame:
