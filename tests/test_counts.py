@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from edgeloom import inference_queries as inference
+from edgeloom import whole_queries  # noqa: F401  registers the whole forms
 from edgeloom import queries as core
 from edgeloom.functions import stats
 from edgeloom.plans import plans

@@ -19,9 +19,9 @@ def test_every_edge_has_draws_and_left_out_rows(spark):
     x = readers.connectome(v).toPandas().pivot(index="subject_row", columns="edge_id", values="value").sort_index()
     r = lambda e, rows: np.corrcoef(x.loc[rows, e], s.loc[rows, "y"])[0, 1]
     drawn = plans.bootstraps(readers.behavior(v), 20).toPandas().groupby("replicate")["subject_row"].apply(list)
-    found = {(m.edge_id, m.replicate): m.r for m in inference.bootstrap_edges(spark, SMALL).collect()}
+    found = {(m.edge_id, m.replicate): m.r for m in core.bootstrap(spark, SMALL).collect()}
     assert found == pytest.approx({(e, k): r(e, rows) for e in x.columns for k, rows in drawn.items()}, abs=2e-6)
-    left = {(m.edge_id, m.subject_row): m.r for m in inference.jackknife_edges(spark, SMALL).collect()}
+    left = {(m.edge_id, m.subject_row): m.r for m in core.jackknife(spark, SMALL).collect()}
     assert left == pytest.approx({(e, k): r(e, x.index.drop(k)) for e in x.columns for k in x.index}, abs=2e-6)
     whole = {m.edge_id: m for m in inference.bias_corrected_interval(spark, SMALL).collect()}
     assert {e: m.r for e, m in whole.items()} == pytest.approx({e: r(e, x.index) for e in x.columns}, abs=2e-6)
