@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, WindowSpec
@@ -128,8 +129,71 @@ def critical_distance(p: float, n: int) -> int:
     return low
 
 
+@lru_cache(maxsize=4096)
+def arrangements(first: tuple[int, ...], second: tuple[int, ...]) -> np.ndarray:
+    """How many distinct arrangements of `second` beside `first` have each sum of products; whole numbers above 0.
+
+    Counted place by place over what is left of each distinct value, so ties cost less, not more.
+    """
+    values, counts = np.unique(second, return_counts=True)
+    size = int(np.dot(np.sort(first), np.sort(second))) + 1
+    left = {tuple(counts.tolist()): np.eye(1, size, dtype=np.int64)[0]}
+    for a in first:
+        after: dict[tuple[int, ...], np.ndarray] = {}
+        for rest, ways in left.items():
+            for j, b in enumerate(values.tolist()):
+                if rest[j]:
+                    key = (*rest[:j], rest[j] - 1, *rest[j + 1 :])
+                    sums = after.setdefault(key, np.zeros(size, np.int64))
+                    sums[a * b :] += ways[: size - a * b]
+        left = after
+    return left[(0,) * len(values)]
+
+
+@lru_cache(maxsize=65_536)
+def exact_ends(first: tuple[int, ...], second: tuple[int, ...], p: float) -> tuple[float, float]:
+    """(near, far): rank distances of at most near or at least far have an exact two-sided p-value below p; -1 and infinity if none has.
+
+    first, second: doubled ranks of n < 10 subjects, in any order, ties sharing their mean. p-values are twice the smaller tail over all orders, at most 1.
+    """
+    first, second = tuple(sorted(first)), tuple(sorted(second))
+    ways = arrangements(first, second)
+    sums = np.flatnonzero(ways)
+    share = ways[sums] / ways.sum()
+    low, high = np.cumsum(share), np.cumsum(share[::-1])[::-1]
+    whole = sum(a * a for a in first) + sum(b * b for b in second)
+    distance = (whole - 2 * sums) / 4
+    slack = 1e-12  # a tail of exactly p / 2 does not select, whatever the order of its sum
+    near, far = distance[2 * high < p - slack], distance[2 * low < p - slack]
+    return float(near.max()) if len(near) else -1.0, float(far.min()) if len(far) else math.inf
+
+
+def _small_ends(p: float):
+    def run(frames):
+        for f in frames:
+            ends = [exact_ends(tuple(a), tuple(b), p) for a, b in zip(f["edge_ranks"], f["y_ranks"], strict=True)]
+            yield f.assign(near=[e[0] for e in ends], far=[e[1] for e in ends])
+
+    return run
+
+
+def doubled_ranks(ranks: Column | str) -> Column:
+    """Twice the ranks of a group of less than ten rows, in ascending order, as an aggregate."""
+    return F.sort_array(F.collect_list((F.col(ranks) * 2 if isinstance(ranks, str) else ranks * 2).cast("int")))
+
+
 def rank_selection(distances: DataFrame, p: float, n: int) -> DataFrame:
-    """distances (distance, rho, edge_ties, y_ties) with `selected`: the rank-distance test for untied pairs, Student's t for others."""
+    """distances (distance, rho, edge_ties, y_ties) with `selected`: the rank-distance test for untied pairs, Student's t for others.
+
+    Below ten subjects every pair, tied or not, takes its exact distribution; distances then have edge_ranks and y_ranks (`doubled_ranks`). Ranks of n subjects have
+    at most 2 ** (n - 1) patterns, so what is computed once a pair of patterns has at most 65,536 rows.
+    """
+    if n < 10:
+        patterns = distances.select("edge_ranks", "y_ranks").distinct()
+        ends = patterns.mapInPandas(_small_ends(p), "edge_ranks array<int>, y_ranks array<int>, near double, far double")
+        found = distances.join(F.broadcast(ends), ["edge_ranks", "y_ranks"])
+        beyond = (F.col("distance") <= F.col("near") + 0.1) | (F.col("distance") >= F.col("far") - 0.1)
+        return found.withColumn("selected", beyond).drop("edge_ranks", "y_ranks", "near", "far")
     nearest = F.least(F.col("distance"), F.lit(float((n**3 - n) // 3)) - F.col("distance"))
     untied = (F.col("edge_ties") == 0) & (F.col("y_ties") == 0)
     return distances.withColumn("selected", F.when(untied, F.round(nearest) <= critical_distance(p, n)).otherwise(F.abs("rho") > critical_r(p, n - 2)))

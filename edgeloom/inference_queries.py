@@ -107,6 +107,32 @@ def rank_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.rank_selection(found, 0.3, v.count()).select("edge_id", exact("rho").alias("rho"), "selected")
 
 
+#: Orders of the first n of six places; the others stay.
+_ORDERS = "d AS (SELECT unnest(generate_series(1, 6)) AS i), perms AS (SELECT [a.i, b.i, c.i, d.i, e.i, f.i] AS o FROM d a, d b, d c, d d, d e, d f WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i, f.i])) = 6), orders AS (SELECT n.i AS n, o FROM d n, perms WHERE o[n.i + 1 :] = [1, 2, 3, 4, 5, 6][n.i + 1 :])"
+
+
+@query("m04_small_samples", BASE + f""",
+g AS (SELECT subject_row // 6 AS sample, subject_row, edge_id, round(value, 1) AS value, CAST(label AS DOUBLE) AS y FROM edges JOIN subjects USING (subject_row)),
+k AS (SELECT sample, subject_row, edge_id, rank() OVER (PARTITION BY sample, edge_id ORDER BY value) + (count(*) OVER (PARTITION BY sample, edge_id, value) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY sample, edge_id ORDER BY y) + (count(*) OVER (PARTITION BY sample, edge_id, y) - 1) / 2.0 AS ry FROM g),
+l AS (SELECT sample, edge_id, count(*) AS n, CAST(sum((rx - ry) * (rx - ry)) AS DOUBLE) AS distance, covar_pop(rx, ry) / nullif(stddev_pop(rx) * stddev_pop(ry), 0) AS rho, list(CAST(rx AS DOUBLE) ORDER BY subject_row) AS x, list(CAST(ry AS DOUBLE) ORDER BY subject_row) AS y FROM k GROUP BY ALL),
+{_ORDERS},
+s AS (SELECT sample, edge_id, sum((x[i] - y[o[i]]) * (x[i] - y[o[i]])) AS other, any_value(distance) AS seen FROM l JOIN orders USING (n), d WHERE d.i <= n GROUP BY sample, edge_id, o),
+p AS (SELECT sample, edge_id, least(1.0, 2 * least(avg(CAST(other <= seen AS INT)), avg(CAST(other >= seen AS INT)))) AS p FROM s GROUP BY ALL)
+SELECT sample, edge_id, n, distance, round(rho, 6) + 0.0 AS rho, p < 0.1 - 1e-12 AS selected FROM l JOIN p USING (sample, edge_id)""")
+def small_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rank selection in samples of six subjects with tied edges and scores, by the exact distribution of each pattern of ties."""
+    v = _vectors(spark, sf_dir)
+    sample = F.floor(F.col("subject_row") / 6).alias("sample")
+    edges = readers.connectome(v).select(sample, "subject_row", "edge_id", F.round("value", 1).alias("value"))
+    scores = _subjects(spark, sf_dir).select(sample, "subject_row", F.col("label").cast("double").alias("y"))
+    x = edges.select("sample", "subject_row", "edge_id", stats.average_rank("value", "sample", "edge_id").alias("rx"))
+    y = scores.select("sample", "subject_row", stats.average_rank("y", "sample").alias("ry"))
+    gap, tied = F.col("rx") - F.col("ry"), F.lit(0.0)
+    found = x.join(y, ["sample", "subject_row"]).groupBy("sample", "edge_id").agg(F.count("*").alias("n"), F.sum(gap * gap).alias("distance"), stats.correlation("rx", "ry").alias("rho"), stats.doubled_ranks("rx").alias("edge_ranks"), stats.doubled_ranks("ry").alias("y_ranks"))
+    chosen = stats.rank_selection(found.withColumns({"edge_ties": tied, "y_ties": tied}), 0.1, 6)
+    return chosen.select("sample", "edge_id", "n", "distance", exact("rho").alias("rho"), "selected")
+
+
 @query("m17_native_consensus", _engine_sql(2, text=f"""cut(threshold, cut) AS (VALUES {", ".join(f"({t}, {stats.critical_r(t, 500 - 500 // FOLDS - 2)!r})" for t in (0.05, 0.01, 0.001))})
 SELECT CAST(threshold AS DOUBLE) AS threshold, iter, edge_id, count(*) AS votes FROM corr, cut WHERE r > cut GROUP BY ALL HAVING count(*) >= 8"""))
 def native_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -120,13 +120,16 @@ def select_adjusted(correlations: DataFrame, p: float, sizes: list[int], k: int)
 
 
 def rank_masks(edges: DataFrame, outcome: DataFrame, p: float, sizes: list[int]) -> DataFrame:
-    """(iter, fold, edge_id, sign, r): rank selection in the training part of each fold; untied pairs take the rank-distance test."""
+    """(iter, fold, edge_id, sign, r): rank selection in the training part of each fold; untied pairs take the rank-distance test, parts below ten the exact one."""
     x, y = _ranked_training(edges, outcome)
     gap = F.col("value") - F.col("y")
     tied = lambda t: F.sum(F.col(t) * F.col(t) - 1) / 2
-    found = x.join(y, ["fold", "subject_row"]).groupBy("iter", "fold", "edge_id").agg(F.count("*").alias("n"), stats.correlation("value", "y").alias("rho"), F.sum(gap * gap).alias("distance"), tied("tx").alias("edge_ties"), tied("ty").alias("y_ties"))
+    paired = x.join(y, ["fold", "subject_row"]).groupBy("iter", "fold", "edge_id")
+    sums = [F.count("*").alias("n"), stats.correlation("value", "y").alias("rho"), F.sum(gap * gap).alias("distance"), tied("tx").alias("edge_ties"), tied("ty").alias("y_ties")]
     masks = None
     for n in sizes:
+        patterns = [stats.doubled_ranks("value").alias("edge_ranks"), stats.doubled_ranks("y").alias("y_ranks")] if n < 10 else []
+        found = paired.agg(*sums, *patterns)
         own = stats.rank_selection(found.filter(F.col("n") == n), p, n).filter("selected AND rho <> 0").select("iter", "fold", "edge_id", F.signum("rho").cast("int").alias("sign"), F.col("rho").alias("r"))
         masks = own if masks is None else masks.unionByName(own)
     return masks

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.stats import critical_distance, critical_r
+from ..functions.stats import critical_distance, critical_r, exact_ends
 from . import engine
 
 #: Edges of a block, iterations of one matrix product, numbers of a slice of iterations (scores times folds).
@@ -90,7 +90,7 @@ class Fold:
         rank = 0 if self.q is None else self.q.shape[1]
         self.cut = critical_r(p, max(self.n - rank - 2, 0))
         if self.plain_ranks:
-            self.raw, self.whole, self.least = a, (self.n**3 - self.n) // 3, critical_distance(p, self.n)
+            self.raw, self.whole, self.least, self.p = a, (self.n**3 - self.n) // 3, critical_distance(p, self.n), p
         self.unit = self._unit(a, size)
 
     def _unit(self, v: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -112,10 +112,21 @@ class Fold:
         if not self.plain_ranks:
             return r > self.cut, r < -self.cut
         distance = (self.raw**2).sum(0)[:, None] + (b**2).sum(0) - 2 * self.raw.T @ b
+        if self.n < 10:
+            chosen = self._small(distance, b)
+            return chosen & (r > 0), chosen & (r < 0)
         exact = np.round(np.minimum(distance, self.whole - distance)) <= self.least
         chosen = np.where(self.tied[:, None] | ties, np.abs(r) > self.cut, exact)
         return chosen & (r > 0), chosen & (r < 0)
 
+    def _small(self, distance: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Edges by iterations beyond the ends of their exact distribution, found once for each pair of patterns of ties."""
+        patterns = lambda v: np.unique(np.sort(np.round(2 * v).astype(int), axis=0), axis=1, return_inverse=True)
+        (first, edge), (second, iteration) = patterns(self.raw), patterns(b)
+        ends = np.array([[exact_ends(tuple(x.tolist()), tuple(y.tolist()), self.p) for y in second.T] for x in first.T])
+        near, far = (ends[edge.ravel()[:, None], iteration.ravel(), k] for k in (0, 1))
+        return (distance <= near + 0.1) | (distance >= far - 0.1)
+
 
 class Scores:
     """A slice of iterations: people, iterations, scores (people by iterations, NaN where somebody takes no part) and the plans of folds."""

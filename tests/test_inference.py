@@ -157,6 +157,35 @@ def test_audits(spark):
     audits.assert_ok(checks.filter("name = 'fine'"))
 
 
+def test_exact_ends_equal_enumeration_for_all_patterns_of_ties():
+    """Every pair of patterns of up to six ranks against all orders; patterns of seven and eight against the untied one and a drawn one."""
+    from itertools import permutations
+
+    def patterns(n):
+        for cuts in range(2 ** (n - 1)):
+            groups, start = [], 0
+            for i in range(1, n + 1):
+                if i == n or cuts >> (i - 1) & 1:
+                    groups += [start + i + 1] * (i - start)  # twice the mean rank of places start + 1 to i
+                    start = i
+            yield tuple(groups)
+
+    draw = np.random.default_rng(5)
+    for n in range(2, 9):
+        orders = np.array(list(permutations(range(n))))
+        every = list(patterns(n))
+        seconds = every if n < 7 else [every[-1], every[draw.integers(len(every))]]
+        for first in every:
+            for second in seconds:
+                d = ((np.array(first) - np.array(second)[orders]) ** 2).sum(1) / 4
+                values, counts = np.unique(d, return_counts=True)
+                below = np.cumsum(counts)
+                p = np.minimum(1, 2 * np.minimum(below, len(d) - below + counts) / len(d))
+                for level in (0.05, 0.2):
+                    near, far = stats.exact_ends(first, second, level)
+                    assert ((values <= near) | (values >= far)).tolist() == (p < level - 1e-12).tolist()
+
+
 def test_rank_selection_branches(spark):
     n, p = 20, 0.05
     whole = (n**3 - n) / 3

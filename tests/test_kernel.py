@@ -92,6 +92,16 @@ def test_rank_kernel_equals_relational_form(tables, ties):
     assert (slow.pos != 0).any() and np.abs(slow.to_numpy() - fast.to_numpy()).max() <= 1e-10
 
 
+def test_small_parts_take_the_exact_test(tables):
+    """Training parts of 8 and 9 with ties: the kernel selects what the relational form does, which is what the exact ends say."""
+    edges, outcome = tables
+    edges = edges.filter("subject_row < 11").selectExpr("subject_row", "edge_id", "CASE WHEN edge_id % 2 = 0 THEN round(value, 0) ELSE value END AS value")
+    outcome = outcome.filter("subject_row < 11").selectExpr("iter", "subject_row", "fold", "CASE WHEN iter % 2 = 0 THEN round(y, 0) ELSE y END AS y")
+    slow = _sorted(engine.strengths(edges, adjusted.rank_masks(edges, outcome, 0.1, engine.group_sizes(outcome)), outcome))
+    fast = _sorted(kernel.block_strengths(edges, outcome, 0.1, 10, 3, ranks=True)[slow.columns.tolist()])
+    assert (slow.pos != 0).any() and np.abs(slow.to_numpy() - fast.to_numpy()).max() <= 1e-10
+
+
 def test_votes_and_plans_of_their_own(tables, people):
     """Iterations with other people and other folds: each is what it would be alone."""
     edges, outcome = tables
