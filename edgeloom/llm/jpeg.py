@@ -18,30 +18,37 @@ ZIGZAG = np.array([
     35, 42, 49, 56, 57, 50, 43, 36, 29, 22, 15, 23, 30, 37, 44, 51, 58, 59, 52, 45, 38, 31, 39, 46, 53, 60, 61, 54, 47, 55, 62, 63,
 ])
 
-# fixed values: the standard Huffman tables (ITU-T T.81, annex K.3), codes of each length from 1 to 16 and the first symbols; the others follow in ascending order
+# fixed values: the standard Huffman tables (ITU-T T.81, annex K.3) by class * 16 + destination: codes of each length from 1 to 16, and all symbols
 STANDARD = {
-    0x00: ((0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0), ""),
-    0x01: ((0, 3, 1, 1, 1, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0), ""),
+    0x00: (
+        (0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0),
+        "00 01 02 03 04 05 06 07 08 09 0a 0b",
+    ),
+    0x01: (
+        (0, 3, 1, 1, 1, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0),
+        "00 01 02 03 04 05 06 07 08 09 0a 0b",
+    ),
     0x10: (
         (0, 2, 1, 3, 3, 2, 4, 3, 5, 5, 4, 4, 0, 0, 1, 125),
-        "01 02 03 00 04 11 05 12 21 31 41 06 13 51 61 07 22 71 14 32 81 91 a1 08 23 42 b1 c1 15 52 d1 f0 24 33 62 72 82 09 0a",
+        "01 02 03 00 04 11 05 12 21 31 41 06 13 51 61 07 22 71 14 32 81 91 a1 08 23 42 b1 c1 15 52 d1 f0 24 33 62 72 82 09 0a 16 17 "
+        "18 19 1a 25 26 27 28 29 2a 34 35 36 37 38 39 3a 43 44 45 46 47 48 49 4a 53 54 55 56 57 58 59 5a 63 64 65 66 67 68 69 6a 73 "
+        "74 75 76 77 78 79 7a 83 84 85 86 87 88 89 8a 92 93 94 95 96 97 98 99 9a a2 a3 a4 a5 a6 a7 a8 a9 aa b2 b3 b4 b5 b6 b7 b8 b9 "
+        "ba c2 c3 c4 c5 c6 c7 c8 c9 ca d2 d3 d4 d5 d6 d7 d8 d9 da e1 e2 e3 e4 e5 e6 e7 e8 e9 ea f1 f2 f3 f4 f5 f6 f7 f8 f9 fa",
     ),
     0x11: (
         (0, 2, 1, 2, 4, 4, 3, 4, 7, 5, 4, 4, 0, 1, 2, 119),
-        "00 01 02 03 11 04 05 21 31 06 12 41 51 07 61 71 13 22 32 81 08 14 42 91 a1 b1 c1 09 23 33 52 f0 15 62 72 d1 0a 16 24 34 e1 25 f1",
+        "00 01 02 03 11 04 05 21 31 06 12 41 51 07 61 71 13 22 32 81 08 14 42 91 a1 b1 c1 09 23 33 52 f0 15 62 72 d1 0a 16 24 34 e1 "
+        "25 f1 17 18 19 1a 26 27 28 29 2a 35 36 37 38 39 3a 43 44 45 46 47 48 49 4a 53 54 55 56 57 58 59 5a 63 64 65 66 67 68 69 6a "
+        "73 74 75 76 77 78 79 7a 82 83 84 85 86 87 88 89 8a 92 93 94 95 96 97 98 99 9a a2 a3 a4 a5 a6 a7 a8 a9 aa b2 b3 b4 b5 b6 b7 "
+        "b8 b9 ba c2 c3 c4 c5 c6 c7 c8 c9 ca d2 d3 d4 d5 d6 d7 d8 d9 da e2 e3 e4 e5 e6 e7 e8 e9 ea f2 f3 f4 f5 f6 f7 f8 f9 fa",
     ),
 }
-#: Symbols of the standard tables: magnitude categories of DC, runs and categories of AC with end of block and runs of 16.
-_DC_SYMBOLS = range(12)
-_AC_SYMBOLS = sorted([0x00, 0xF0] + [run << 4 | size for run in range(16) for size in range(1, 11)])
 
 
 def standard(slot: int) -> tuple[bytes, bytes]:
     """(codes of each length, symbols) of a standard table; the slot is class * 16 + destination."""
-    lengths, first = STANDARD[slot]
-    head = bytes.fromhex(first)
-    rest = (x for x in (_AC_SYMBOLS if slot >> 4 else _DC_SYMBOLS) if x not in head)
-    return bytes(lengths), head + bytes(rest)
+    lengths, symbols = STANDARD[slot]
+    return bytes(lengths), bytes.fromhex(symbols)
 
 
 def cosines() -> np.ndarray:
