@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 
 @dataclass(frozen=True)
 class Outcome:
@@ -33,3 +36,9 @@ class Settings:
     def correlation_of(self, behavior: str, override: str | None = None) -> str:
         """The override, else Pearson for interval scales and Spearman for the others."""
         return override or ("Pearson" if any(name in behavior for name in self.interval) else "Spearman")
+
+    def correlation_type(self, behavior: Column, override: Column | None = None) -> Column:
+        """The same of a column of names; a NULL override gives the default, a NULL name Spearman."""
+        interval = F.coalesce(F.greatest(F.lit(False), *(behavior.contains(name) for name in self.interval)), F.lit(False))
+        default = F.when(interval, "Pearson").otherwise("Spearman")
+        return default if override is None else F.coalesce(override, default)

@@ -86,3 +86,22 @@ def with_q(summary: DataFrame, p: str, by: list[str], order: list[str], toleranc
     if not computed.filter(~F.coalesce(F.abs(F.col("q") - F.col("__q")) < tolerance, F.lit(False))).isEmpty():
         raise ValueError("stored q differs from the recomputed one")
     return summary
+
+
+def connectome_checks(vectors: DataFrame, nodes: int | None = None, subjects: int | None = None, finite: bool = False) -> dict[str, DataFrame]:
+    """Violations of the shape of flattened matrices (vec_id, embedding), for `verdict`: square ones, of `nodes` nodes or else of the commonest size (the larger of tied ones),
+    as many as `subjects`, without NULL and infinite cells if `finite`. A NULL matrix has no cells: it is square and of another size."""
+    sizes = vectors.select("vec_id", "embedding", F.coalesce(F.size("embedding"), F.lit(0)).alias("cells")).withColumn("cells", F.greatest("cells", F.lit(0)))
+    root = F.round(F.sqrt("cells")).cast("int")
+    found = {"square": sizes.filter(root * root != F.col("cells"))}
+    if nodes is None:
+        commonest = sizes.groupBy("cells").agg(F.count("*").alias("n")).agg(F.max(F.struct("n", "cells"))["cells"].alias("usual"))
+        found["one size"] = sizes.join(F.broadcast(commonest), F.col("cells") != F.col("usual"))  # one row
+    else:
+        found["nodes"] = sizes.filter(F.col("cells") != nodes**2)
+    if subjects is not None:
+        found["subjects"] = sizes.agg(F.count("*").alias("n")).filter(F.col("n") != subjects)
+    if finite:
+        off = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
+        found["finite"] = sizes.filter(F.exists("embedding", off))
+    return found

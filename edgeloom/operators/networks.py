@@ -73,3 +73,29 @@ def edge_layout(cells: DataFrame, corr_type: str = "pearson", eps: float = 2.0**
         mean = (F.col("upper") + F.col("lower")) / 2
         return pairs.select("subject_row", "node_i", "node_j", (F.col("upper") if corr_type == "spearman" else mean).alias("correlated"), mean.alias("summed")), 1
     return cells.select("subject_row", "node_i", "node_j", v.alias("correlated"), v.alias("summed")), 2
+
+
+def node_group(atlas: DataFrame, nodes: int, structure: str) -> DataFrame:
+    """(node): members of a structure, named in any case. atlas: (node, structure), which must describe each node of 0 to nodes - 1 exactly once."""
+    seen = atlas.agg(F.count("*").alias("n"), F.count_distinct("node").alias("kinds"), F.min("node").alias("low"), F.max("node").alias("high")).first()
+    if (seen["n"], seen["kinds"], seen["low"], seen["high"]) != (nodes, nodes, 0, nodes - 1):
+        raise ValueError(f"the atlas must describe each of {nodes} nodes exactly once")
+    return atlas.filter(F.lower("structure") == structure.lower()).select("node")
+
+
+def group_edges(masks: DataFrame, layout: DataFrame, group: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """(outcome, edges, touching, share, within) of the masks (outcome, edge_id): edges with one end or both in a node group, and with both; zeros for an empty mask.
+
+    layout: (edge_id, node_i, node_j), one row an edge; group: (node); outcomes: (outcome).
+    """
+    end = lambda side: group.select(F.col("node").alias(f"node_{side}"), F.lit(True).alias(side))
+    known = layout.join(end("i"), "node_i", "left").join(end("j"), "node_j", "left").select("edge_id", *(F.coalesce(c, F.lit(False)).alias(c) for c in "ij"))
+    counted = masks.join(known, "edge_id").groupBy("outcome").agg(F.count("*").alias("edges"), F.count_if(F.col("i") | F.col("j")).alias("touching"), F.count_if(F.col("i") & F.col("j")).alias("within"))
+    every = outcomes.join(counted, "outcome", "left").fillna(0, ["edges", "touching", "within"])
+    return every.select("outcome", "edges", "touching", (F.col("touching") / F.greatest("edges", F.lit(1))).alias("share"), "within")
+
+
+def mask_logic(masks: DataFrame, by: list[str], member: str, members: int) -> DataFrame:
+    """(by..., edge_id, masks, in_any, in_all): OR and AND of the `members` masks of a group, for the edges of at least one; masks with no edge count as members."""
+    counted = masks.groupBy(*by, "edge_id").agg(F.count_distinct(member).alias("masks"))
+    return counted.withColumns({"in_any": F.col("masks") > 0, "in_all": F.col("masks") == members})

@@ -218,12 +218,12 @@ def correlation_inversion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.select("outcome", F.when(F.col("configured") == "Pearson", "Spearman").otherwise("Pearson").alias("inverted"))
 
 
-@query("m13_default_correlation", """SELECT event_id, CASE WHEN contains(name, 'LSD_OBN') OR contains(name, 'LSD_MEQ30') OR contains(name, 'LSD_VRS') THEN 'Pearson' ELSE 'Spearman' END AS type FROM (
-SELECT event_id, ['LSD_OBN_score', 'LSD_GDE', 'MDMA_VRS', 'x_LSD_VRS', 'LSD_MEQ30'][1 + event_id % 5] AS name FROM events)""")
+@query("m13_default_correlation", "SELECT p_partkey, p_brand AS behavior, CASE WHEN p_size % 10 = 0 THEN 'Spearman' WHEN contains(p_brand, '#1') OR contains(p_brand, '#3') THEN 'Pearson' ELSE 'Spearman' END AS type FROM part")
 def default_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = ["LSD_OBN_score", "LSD_GDE", "MDMA_VRS", "x_LSD_VRS", "LSD_MEQ30"]
-    types = F.array(*(F.lit(CONFIG.correlation_of(name)) for name in names))
-    return table(spark, sf_dir, "events").select("event_id", F.element_at(types, (F.col("event_id") % 5 + 1).cast("int")).alias("type"))
+    """Types by the names of behaviours: brands, two kinds of which stand for interval scales; some rows override theirs."""
+    settings = Settings(interval=("#1", "#3"))
+    override = F.when(F.col("p_size") % 10 == 0, "Spearman")
+    return table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("behavior"), settings.correlation_type(F.col("p_brand"), override).alias("type"))
 
 
 @query("m27_deprecated_alias", SQL["m26_publication_table"])
@@ -311,10 +311,11 @@ def shape_and_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audits.verdict({"cells": v.filter(F.size("embedding") != readers.NODES**2), "finite": cells.filter(x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))), "twice": v.groupBy("vec_id").count().filter("count > 1")})
 
 
-@query("v02_binary_coding", "SELECT 'toxic' AS name, count(*) FILTER (toxic NOT IN (0, 1) OR toxic IS NULL) AS violations, count(*) FILTER (toxic NOT IN (0, 1) OR toxic IS NULL) = 0 AS ok FROM labels UNION ALL SELECT 'quality', count(*) FILTER (quality NOT IN (0, 1) OR quality IS NULL), count(*) FILTER (quality NOT IN (0, 1) OR quality IS NULL) = 0 FROM labels UNION ALL SELECT 'studies', 0, true")
+@query("v02_binary_coding", "SELECT 'toxic' AS name, count(*) FILTER (toxic NOT IN (0, 1) OR toxic IS NULL) AS violations, count(*) FILTER (toxic NOT IN (0, 1) OR toxic IS NULL) = 0 AS ok FROM labels UNION ALL SELECT 'quality', count(*) FILTER (quality NOT IN (0, 1) OR quality IS NULL), count(*) FILTER (quality NOT IN (0, 1) OR quality IS NULL) = 0 FROM labels UNION ALL SELECT 'studies', count(*) FILTER (vec_id % 97 = 5), count(*) FILTER (vec_id % 97 = 5) = 0 FROM embeddings")
 def binary_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Indicators are 0 or 1, and study indicators agree with the study's label."""
+    """Indicators are 0 or 1, and study indicators agree with the study's label; in some rows one is planted that does not."""
     labels, c = table(spark, sf_dir, "labels"), readers.covariates(_vectors(spark, sf_dir))
+    c = c.withColumn("study_2", F.when(F.col("subject_row") % 97 == 5, 1 - F.col("study_2")).otherwise(F.col("study_2")))
     off = lambda name: ~F.coalesce(F.col(name).isin(0, 1), F.lit(False))
     clash = ((F.col("study_id") == 2) != (F.col("study_2") == 1)) | ((F.col("study_id") == 3) != (F.col("study_3") == 1))
     return audits.verdict({"toxic": labels.filter(off("toxic")), "quality": labels.filter(off("quality")), "studies": c.filter(clash)})
