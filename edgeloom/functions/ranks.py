@@ -12,7 +12,7 @@ from ..sources.shared import written
 _WITHIN = 33
 
 
-def numbered(df: DataFrame, by: list[str], order: list[str], partitions: int | None = None) -> DataFrame:
+def numbered(df: DataFrame, by: list[str], order: list[str | Column], partitions: int | None = None) -> DataFrame:
     """df with __number (from 1 within each group by `by`, in the order of `order`, nulls first), __size (rows of the group) and __part.
 
     A group is spread over as many partitions as its share of rows asks for. Rows equal in `by` and `order` lie in one partition, so `order` should tell
@@ -29,6 +29,14 @@ def numbered(df: DataFrame, by: list[str], order: list[str], partitions: int | N
     return _joined(placed, parts, by).withColumn("__number", F.col("__at") + F.col("__move")).drop("__at", "__move")
 
 
+def sorted_rows(df: DataFrame, order: list[str | Column], place: str = "place", partitions: int | None = None) -> DataFrame:
+    """df with the place of each row (from 1) in a sort of the whole table: columns ascending with nulls first, or Columns as F.desc gives them.
+
+    As in `numbered`, `order` should tell rows apart; equal rows get places in any order.
+    """
+    return numbered(df, [], order, partitions).withColumn(place, F.col("__number")).drop("__number", "__size", "__part")
+
+
 def _joined(placed: DataFrame, parts: DataFrame, by: list[str]) -> DataFrame:
     """placed with what parts says of its group (null equal to null) and partition."""
     on = placed["__part"] == parts["__p"]

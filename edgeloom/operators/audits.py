@@ -105,3 +105,8 @@ def connectome_checks(vectors: DataFrame, nodes: int | None = None, subjects: in
         off = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
         found["finite"] = sizes.filter(F.exists("embedding", off))
     return found
+
+
+def repeated(df: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys..., rows): keys that several rows have, NULL being a key like others; a check of distinct counts for `verdict`."""
+    return df.groupBy(*keys).agg(F.count("*").alias("rows")).filter("rows > 1")

@@ -404,3 +404,24 @@ def run_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fields of a run record: an id from time and size, dates, a hash of the input."""
     first, last, n = F.min("o_orderdate"), F.max("o_orderdate"), F.count("*")
     return table(spark, sf_dir, "orders").agg(F.concat_ws("-", F.date_format(last, "yyyyMMdd'T'HHmmss"), n).alias("run_id"), F.date_format(first, "yyyy-MM-dd").alias("started"), F.datediff(last, first).cast("long").alias("days"), F.sha2(n.cast("string"), 256).alias("input_sha256"))
+
+
+@query("s15_pruned_bundle", "SELECT o_orderkey, o_totalprice AS total, year(o_orderdate) AS year FROM orders")
+def pruned_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two fields of a saved bundle's nested results, and its key."""
+    path = _place(spark, "results")
+    results = F.struct(F.col("o_totalprice").alias("total"), F.year("o_orderdate").cast("long").alias("year"), "o_orderstatus", "o_orderpriority")
+    table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", results.alias("results")).write.parquet(path)
+    return readers.pruned(spark, path, ["o_orderkey", "results.total", "results.year"])
+
+
+@query("k10_session_log", " UNION ALL ".join(f"SELECT 'INFO {t}: ' || count(*) || ' rows' AS line FROM {t}" for t in ("orders", "lineitem", "events")) + " UNION ALL SELECT 'WARNING ' || count(*) || ' customers owe' FROM customer WHERE c_acctbal < 0")
+def session_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log of a session of counts, as it is read again."""
+    path = _place(spark, "log")
+    with sinks.SessionLog(spark, path, "edgeloom.session") as log:
+        for name in ("orders", "lineitem", "events"):
+            log.info("%s: %d rows", name, table(spark, sf_dir, name).count())
+        log.warning("%d customers owe", table(spark, sf_dir, "customer").filter("c_acctbal < 0").count())
+        log.debug("left out")
+    return spark.read.text(path).select(F.col("value").alias("line"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .functions import ranks
 from .functions.stats import exact
 from .operators import audits
 from .queries import BASE, _rounded, _vectors, query
@@ -130,3 +131,25 @@ def overlap_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = a.join(b, F.col("first") < F.col("second")).join(shared, ["first", "second"], "left").join(total, how="cross")  # one row
     expected = F.col("a") * F.col("b") / F.col("n")
     return pairs.select("first", "second", F.coalesce("shared", F.lit(0)).alias("shared"), exact(expected).alias("expected"), exact(F.try_divide(F.coalesce("shared", F.lit(0)), expected)).alias("ratio"))
+
+
+@query("o01_sorted_rows", "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderpriority, o_totalprice DESC, o_orderkey) AS place FROM orders")
+def sorted_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of all rows in a sort by several columns and directions, without a window over the whole table."""
+    o = readers.table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice")
+    return ranks.sorted_rows(o, ["o_orderpriority", F.desc("o_totalprice"), "o_orderkey"]).select("o_orderkey", "place")
+
+
+@query("a15_distinct_checks", """WITH r AS (SELECT 'subjects' AS name, count(*) AS n FROM (SELECT vec_id FROM embeddings GROUP BY ALL HAVING count(*) > 1) UNION ALL SELECT 'customers of orders', count(*) FROM (SELECT o_custkey FROM orders GROUP BY ALL HAVING count(*) > 1)
+UNION ALL SELECT 'users and types', count(*) FROM (SELECT user_id, event_type FROM events GROUP BY ALL HAVING count(*) > 1)) SELECT name, n AS violations, n = 0 AS ok FROM r""")
+def distinct_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys of one and of several columns that are not distinct."""
+    t = lambda name: readers.table(spark, sf_dir, name)
+    return audits.verdict({"subjects": audits.repeated(t("embeddings"), ["vec_id"]), "customers of orders": audits.repeated(t("orders"), ["o_custkey"]), "users and types": audits.repeated(t("events"), ["user_id", "event_type"])})
+
+
+@query("a15_distinct_pairs", "SELECT o_orderpriority, o_orderstatus, row_number() OVER (ORDER BY o_orderpriority, o_orderstatus) AS place FROM (SELECT DISTINCT o_orderpriority, o_orderstatus FROM orders)")
+def distinct_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct rows of two columns in sorted order."""
+    pairs = readers.table(spark, sf_dir, "orders").select("o_orderpriority", "o_orderstatus").distinct()
+    return ranks.sorted_rows(pairs, ["o_orderpriority", "o_orderstatus"])

@@ -126,3 +126,23 @@ def without_forbidden(df: DataFrame, forbidden: list[str]) -> DataFrame:
     if bad:
         raise ValueError(f"forbidden columns: {', '.join(bad)}")
     return df
+
+
+def pruned(spark: SparkSession, path: str, fields: list[str]) -> DataFrame:
+    """Fields of a saved Parquet bundle, nested ones as `column.field`; nothing else is read. A field that the bundle lacks is refused by name."""
+    from pyspark.sql import types as T
+
+    found = spark.read.parquet(path)
+
+    def known(field: str) -> bool:
+        kind: T.DataType = found.schema
+        for name in field.split("."):
+            if not isinstance(kind, T.StructType) or name not in kind.names:
+                return False
+            kind = kind[name].dataType
+        return True
+
+    lacking = [f for f in fields if not known(f)]
+    if lacking:
+        raise ValueError(f"the bundle lacks {', '.join(lacking)}")
+    return found.select(*fields)

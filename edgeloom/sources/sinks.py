@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import json
+import logging
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -60,3 +61,30 @@ def finish_run(outputs: DataFrame, path: str, fields: dict[str, object]) -> None
     hashed = manifest(outputs).select(F.concat_ws(":", F.element_at(F.split("path", "/"), -1), "sha256").alias("line"))
     total = hashed.agg(F.count("*").alias("files"), F.sha2(F.array_join(F.sort_array(F.collect_list("line")), ","), 256).alias("sha256")).first()  # as many names as output files
     write_record(outputs, path, fields | {"status": "COMPLETE", "files": total.files, "outputs_sha256": total.sha256})
+
+
+class SessionLog(logging.Handler):
+    """Messages of a logger while the block runs, added as text lines to a log in a shared folder; written when the block ends, by an error too (which is its last line).
+
+    These are the driver's messages, a few for each step of a run; earlier sessions' lines stay.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, name: str, level: int = logging.INFO):
+        super().__init__(level)
+        self.spark, self.path, self.logger, self.lines = spark, path, logging.getLogger(name), []
+
+    def emit(self, record: logging.LogRecord) -> None:
+        self.lines += [f"{record.levelname} {line}" for line in record.getMessage().splitlines()]
+
+    def __enter__(self) -> logging.Logger:
+        self.before = self.logger.level
+        self.logger.setLevel(self.level)
+        self.logger.addHandler(self)
+        return self.logger
+
+    def __exit__(self, kind, error, trace) -> None:
+        self.logger.removeHandler(self)
+        self.logger.setLevel(self.before)
+        if error is not None:
+            self.lines.append(f"ERROR {kind.__name__}: {error}")
+        append_report(self.spark.createDataFrame([(line,) for line in self.lines], "value string"), self.path)
