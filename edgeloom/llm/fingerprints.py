@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from .common import text_of
 
-SAMPLES = 64
-_BITS, _ODD = 28, 0x9E3779B
+SAMPLES = 32
+_BITS = 28
 #: Buckets of neighbours for each shuffle partition.
 BUCKETS = 4
 
@@ -47,9 +47,7 @@ def _drawn(t: Column, log_w: Column, k: int) -> Column:
     level = F.floor(log_w / r + b)
     log_a = F.ln(c) - r * (level - b + 1)
     order = F.greatest(F.lit(0), F.least(F.lit(2**35 - 1), ((log_a + 200) * float(2**26)).cast("long")))
-    # t is a hash already; an odd factor keeps the levels of a term apart
-    low = F.lit(2**_BITS - 1)
-    return F.shiftleft(order, _BITS).bitwiseOR((t.bitwiseAND(low) + level.bitwiseAND(low) * F.lit(_ODD)).bitwiseAND(low))
+    return F.shiftleft(order, _BITS).bitwiseOR(F.xxhash64(t, level).bitwiseAND(F.lit(2**_BITS - 1)))
 
 
 def signatures(df: DataFrame, keys: list[str], terms: str, samples: int = SAMPLES) -> DataFrame:
