@@ -19,3 +19,14 @@ def test_rank_tails_of_many_subjects():
     d = stats.critical_distance(0.01, n)
     rho = 1 - 6 * d / (n**3 - n)
     assert rho == pytest.approx(2.575829 / math.sqrt(n - 1), rel=1e-3)
+
+
+def test_shares_round_as_printf(spark, tmp_path):
+    # 1500 / 100000 is a double below 0.015, 2500 / 100000 above 0.025, 12500 / 100000 is 0.125 itself
+    values = [1500.0, 2500.0, 3500.0, 4500.0, 500.0, 12500.0, 0.0]
+    spark.createDataFrame([(k, "BUILDING", v) for k, v in enumerate(values)], "c_custkey long, c_mktsegment string, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet")
+    found = {r.c_custkey: r.share for r in core.QUERIES["p07_label_mapping"](spark, str(tmp_path)).collect()}
+    assert [found[k] for k in range(len(values))] == [f"{v / 100000:.2f}".removeprefix("0") for v in values]
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW customer AS SELECT * FROM '{tmp_path}/customer.parquet/*.parquet'")
+    assert found == {k: share for k, _, share in db.execute(core.SQL["p07_label_mapping"]).fetchall()}
