@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from edgeloom import queries as core
 from edgeloom.functions import stats
+from edgeloom.plans import plans
 
 
 def test_rank_tails_of_many_subjects():
@@ -30,3 +33,11 @@ def test_shares_round_as_printf(spark, tmp_path):
     db = duckdb.connect()
     db.execute(f"CREATE VIEW customer AS SELECT * FROM '{tmp_path}/customer.parquet/*.parquet'")
     assert found == {k: share for k, _, share in db.execute(core.SQL["p07_label_mapping"]).fetchall()}
+
+
+def test_draws_come_from_many_tasks(spark):
+    s = spark.range(40).select((F.col("id") * 10).alias("subject_row"))  # its size is known, so people are broadcast and draws stay where they are made
+    drawn = plans.bootstraps(s, 50)
+    assert drawn.select(F.spark_partition_id()).distinct().count() > 1
+    at = lambda r, slot: int(hashlib.md5(f"boot:11:{r}:{slot}".encode()).hexdigest()[:12], 16) % 40  # noqa: E731,S324
+    assert sorted(map(tuple, drawn.collect())) == [(r, slot, 10 * at(r, slot)) for r in range(1, 51) for slot in range(40)]
