@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import marked, text_of, written
+from .common import marked, small_batches, text_of, written
 from .components import components
 from .textops import chunks, lists, mix, shingle_sets
 
@@ -350,7 +350,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
 
     Null and blank texts have no shingles and link with nothing; equal sets always link. Other columns are ignored.
     """
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text"))
+    base = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text"))
     sketch = base.mapInArrow(_sketch(k, num, den), "doc_id long, n long, s1 long, s2 long, p long, pool long, tokens array<long>")
     sketch = written(sketch.withColumn("row", F.monotonically_increasing_id()), "sketch")
     # a class of equal sets is named by a row of its smallest doc_id

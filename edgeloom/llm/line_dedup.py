@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import written
+from .common import small_batches, written
 from .textops import mix
 
 #: Shards that may be copied, at most; keys and probes of a shard (about); shards dealt to a task.
@@ -209,7 +209,7 @@ def dedup_lines(docs: DataFrame, least: int = 10, holders: int = 2) -> DataFrame
 
     least: code points of a key that is compared; holders: rows that must hold a key before its lines are dropped.
     """
-    docs = docs.drop("n_lines", "n_dropped", "__lost")
+    docs = small_batches(docs).drop("n_lines", "n_dropped", "__lost")
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     digest = F.unhex(F.concat(*(F.lpad(F.hex(c), 16, "0") for c in ("h1", "h2"))))
     by_doc = _lost(slim, least, holders).groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_list(digest).alias("__lost")).withColumn("__zero", F.lit(0).cast("long"))

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of, written
+from .common import small_batches, text_of, written
 
 WINDOWS, SLACK, GROUP = 32, 16, 64
 _SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary, part long"
@@ -179,7 +179,7 @@ def pack(docs: DataFrame, vocabulary: str, pattern: str, size: int = 2048, end:
 
     vocabulary: path of a file of byte-pair ranks on every machine; pattern: its splitting pattern; end: the id put after each document.
     """
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text"))
+    slim = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text"))
     packed = written(slim.mapInArrow(_pack(vocabulary, pattern, size, end), _SCHEMA), "pieces")
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     rest = packed.filter("sequence_id IS NULL")

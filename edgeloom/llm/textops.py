@@ -47,7 +47,7 @@ class _Powers:
         return cls.up, cls.down
 
 
-def chunks(batch: pa.RecordBatch, column: str, most: int = 1 << 21) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def chunks(batch: pa.RecordBatch, column: str, most: int = 1 << 19) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, bytes, offsets) of pieces of about `most` bytes; a longer text is a piece of its own."""
     texts = pc.fill_null(batch.column(column).cast(pa.large_string()), "")
     if len(texts) == 0:

@@ -23,13 +23,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_of
+from .common import small_batches, text_of
 from .textops import mix
 
 SAMPLE = 3_000
 BUCKETS, DIMENSIONS, EPOCHS, RATES, DOUBT, LEAST = 1 << 17, 4, 30, (20.0, 0.1, 0.1), 3.0, 5
 GRAMS = (3, 6)
 MEMO = 500_000
+#: Entries of a sparse sum that are taken at a time.
+PART = 1 << 18
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -47,32 +49,52 @@ def grams(listed: list[str]) -> tuple[np.ndarray, np.ndarray]:
     marked = [f"<{w}>" for w in listed]
     sizes = np.fromiter(map(len, marked), np.int64, len(marked))
     code = np.frombuffer("".join(marked).encode("utf-32-le"), "<u4").astype(np.uint64)
-    owner, end = np.repeat(np.arange(len(marked)), sizes), np.repeat(np.cumsum(sizes), sizes)
+    owner, end = np.repeat(np.arange(len(marked), dtype=np.int32), sizes), np.repeat(np.cumsum(sizes), sizes)
     value, owners, found = np.zeros(len(code), np.uint64), [], []
     for n in range(1, min(GRAMS[1], len(code)) + 1):
         value = value[: len(code) - n + 1] * np.uint64(0x100000001B3) + code[n - 1 :]
         if n >= GRAMS[0]:
             inside = np.arange(len(value)) + n <= end[: len(value)]
             owners.append(owner[: len(value)][inside])
-            found.append((mix(value[inside] + np.uint64(n)) % np.uint64(BUCKETS)).astype(np.int64))
-    return (np.concatenate(owners), np.concatenate(found)) if owners else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            found.append((mix(value[inside] + np.uint64(n)) % np.uint64(BUCKETS)).astype(np.int32))
+    return (np.concatenate(owners), np.concatenate(found)) if owners else (np.zeros(0, np.int32), np.zeros(0, np.int32))
+
+
+def _words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """(text, place in the vocabulary) of the distinct words of each text, both ascending, and the sorted vocabulary; a word of many texts is held once."""
+    met: dict[str, int] = {}
+    bags = [np.fromiter((met.setdefault(w, len(met)) for w in words(t)), np.int32) for t in texts]
+    vocabulary = sorted(met)
+    rank = np.empty(len(met), np.int32)
+    rank[np.fromiter(map(met.__getitem__, vocabulary), np.int64, len(met))] = np.arange(len(met))
+    owner = np.repeat(np.arange(len(bags), dtype=np.int32), [len(b) for b in bags])
+    return owner, np.concatenate([np.sort(rank[b]) for b in bags]) if bags else np.zeros(0, np.int32), vocabulary
+
+
+def _summed(row: np.ndarray, column: np.ndarray, each: np.ndarray, value: np.ndarray, size: int, by_row: bool) -> np.ndarray:
+    """Sums over entries of each[row] times the value of the other side, added up in the order of entries, PART of them at a time."""
+    total = np.zeros(size)
+    for at in range(0, len(row), PART):
+        r, c = row[at : at + PART], column[at : at + PART]
+        np.add.at(total, r if by_row else c, each[r] * value[c if by_row else r])
+    return total
 
 
 class _Mean:
     """A sparse matrix of row means, applied forwards and backwards; negative columns count in a mean as zeros."""
 
     def __init__(self, row: np.ndarray, column: np.ndarray, rows: int, columns: int):
-        size = np.maximum(1, np.bincount(row, minlength=rows))
+        self.each = 1.0 / np.maximum(1, np.bincount(row, minlength=rows))
         known = column >= 0
-        self.row, self.column, self.weight = row[known], column[known], 1.0 / size[row[known]]
+        self.row, self.column = row[known].astype(np.int32), column[known].astype(np.int32)
         self.shape = (rows, columns)
 
     def forward(self, x: np.ndarray) -> np.ndarray:
-        return np.stack([np.bincount(self.row, self.weight * x[self.column, d], self.shape[0]) for d in range(x.shape[1])], 1)
+        return np.stack([_summed(self.row, self.column, self.each, x[:, d], self.shape[0], True) for d in range(x.shape[1])], 1)
 
     def backward(self, g: np.ndarray, power: int = 1) -> np.ndarray:
-        weight = self.weight**power
-        return np.stack([np.bincount(self.column, weight * g[self.row, d], self.shape[1]) for d in range(g.shape[1])], 1)
+        each = self.each**power
+        return np.stack([_summed(self.row, self.column, each, g[:, d], self.shape[1], False) for d in range(g.shape[1])], 1)
 
 
 def fit(texts: list[str], labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
@@ -81,17 +103,14 @@ def fit(texts: list[str], labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, f
     An n-gram's step is its gradient in units of the deviation that chance would give it, less DOUBT of them: what only names a few texts stays at zero.
     A fifth of the texts is left out: the step with its least loss counts, and a logistic fit of one slope and bias calibrates the logits on it.
     """
-    bags = [sorted(words(t)) for t in texts]
-    vocabulary = {w: k for k, w in enumerate(sorted({w for b in bags for w in b}))}
-    size = np.fromiter(map(len, bags), np.int64, len(bags))
-    text_of_word = np.repeat(np.arange(len(bags)), size)
-    word = np.fromiter((vocabulary[w] for b in bags for w in b), np.int64, int(size.sum()))
-    owner, bucket = grams(list(vocabulary))
+    text_of_word, word, vocabulary = _words_of(texts)
+    owner, bucket = grams(vocabulary)
     # in how many words of texts an n-gram stands
-    used = np.flatnonzero(np.bincount(bucket, np.bincount(word, minlength=len(vocabulary))[owner], BUCKETS) >= LEAST)
-    place = np.full(BUCKETS, -1)
+    used = np.flatnonzero(_summed(owner, bucket, np.bincount(word, minlength=len(vocabulary)), np.ones(len(vocabulary)), BUCKETS, False) >= LEAST)
+    place = np.full(BUCKETS, -1, np.int32)
     place[used] = np.arange(len(used))
     spelled = _Mean(owner, place[bucket], len(vocabulary), len(used))
+    del owner, bucket
     left = np.array([zlib.crc32(t.encode()) % 5 == 0 for t in texts])
     kept = [np.flatnonzero(~left), np.flatnonzero(left)]
     if len(set(labels[kept[0]].tolist())) < 2 or len(set(labels[kept[1]].tolist())) < 2:
@@ -219,4 +238,5 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float, float]) -> DataFrame:
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    docs = small_batches(docs)
     return score(docs, train(docs, labels, sample))
