@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import BATCH, small_batches
+
 _NAMES = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # fixed value: the name space of URLs (RFC 4122)
 DATE = "2024-01-01T00:00:00Z"
 _HIDDEN = re.compile(r"<!--|<(script|style|noscript|template|head|title)\b", re.I)
@@ -144,11 +146,13 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
         for frame in frames:
             for name, data in zip(frame["path"], frame["content"], strict=True):
                 rows: list[tuple[str, bytes]] = []
+                held = 0
                 for at, whole in split_records(bytes(data)):
                     rows.append((f"{name}#{at}", whole))
-                    if len(rows) >= 200:
+                    held += len(whole)
+                    if held >= BATCH:
                         yield pd.DataFrame(rows, columns=["page_id", "warc"])
-                        rows = []
+                        rows, held = [], 0
                 yield pd.DataFrame(rows, columns=["page_id", "warc"])
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "page_id string, warc binary")
@@ -199,7 +203,7 @@ def responses(pages: DataFrame) -> DataFrame:
         for frame in frames:
             yield pd.DataFrame({"page_id": frame["page_id"], "warc": [response(*row) for row in zip(frame["page_id"], frame["url"], frame["html"], strict=True)]})
 
-    slim = pages.select("page_id", *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("url", "html")))
+    slim = small_batches(pages).select("page_id", *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("url", "html")))
     return slim.mapInPandas(run, f"page_id {dict(pages.dtypes)['page_id']}, warc binary")
 
 
@@ -209,14 +213,18 @@ def derive(records: DataFrame) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = []
+            rows, held = [], 0
             for page, data in zip(frame["page_id"], frame["warc"], strict=True):
                 try:
                     made = derivatives(bytes(data)) if data is not None else []
                 except ValueError:
                     made = []
                 rows += [(page, *(headers[h] for h in names.values()), block, whole) for headers, block, whole in made]
+                held += sum(len(block) + len(whole) for _, block, whole in made)
+                if held >= BATCH:
+                    yield pd.DataFrame(rows, columns=["page_id", *names, "block", "record"])
+                    rows, held = [], 0
             yield pd.DataFrame(rows, columns=["page_id", *names, "block", "record"])
 
     fields = ", ".join(f"{c} string" for c in names)
-    return records.select("page_id", "warc").mapInPandas(run, f"page_id {dict(records.dtypes)['page_id']}, {fields}, block binary, record binary")
+    return small_batches(records).select("page_id", "warc").mapInPandas(run, f"page_id {dict(records.dtypes)['page_id']}, {fields}, block binary, record binary")

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from edgeloom.llm import common, jaccard_join, line_dedup, packing, toxicity
+from edgeloom.llm import common, jaccard_join, line_dedup, packing, toxicity, warc
 
 _KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
 
@@ -31,6 +31,8 @@ OPERATORS = {
     "line_dedup": line_dedup.dedup_lines,
     "ngram_jaccard": jaccard_join.jaccard_components,
     "packing": lambda d: packing.pack(d, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN),
+    "warc": lambda d: warc.derive(warc.responses(d.selectExpr("doc_id AS page_id", "'u' AS url", "text AS html"))),
+    "warc_records": lambda d: warc.derive(d.selectExpr("doc_id AS page_id", "CAST(text AS BINARY) AS warc")),
 }
 
 
