@@ -1,7 +1,8 @@
 """Gradient-boosted trees of depth two for the logistic loss, whose histograms are SQL aggregates and whose scores are SQL expressions.
 
-Features are small integers. The sample is first folded into its distinct rows with counts; each level of a tree is one aggregate
-over (node, feature, value), of which at most nodes * features * values sums reach the driver.
+Features are small integers. The rows are first folded into distinct ones with counts; each level of a tree is one aggregate
+over (node, feature, value), of which at most nodes * features * values sums reach the driver. Gradients are added up as whole
+numbers of UNIT, so that the order in which partitions come does not change a tree.
 """
 
 from __future__ import annotations
@@ -14,6 +15,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Gradients and curvatures are whole numbers of this; sums of 8e9 rows fit into a long, more of them fail.
+UNIT = 2.0**-30
+
+
 class Split(NamedTuple):
     feature: str
     most: int
@@ -70,11 +75,12 @@ def fit(folded: DataFrame, features: list[str], groups: list[int], rounds: int =
 
     def histogram(node: Column) -> dict[tuple[int, int], list[tuple[str, int, float, float]]]:
         p = each(lambda k: probability(trees[k], F.col), F.lit(0.5))
-        at = folded.withColumns({"node": node, "p": p}).withColumns({"g": (F.col("label") - F.col("p")) * F.col("n"), "h": F.col("p") * (1 - F.col("p")) * F.col("n")})
+        units = lambda c: F.round(c / UNIT).cast("long") * F.col("n")
+        at = folded.withColumns({"node": node, "p": p}).withColumns({"g": units(F.col("label") - F.col("p")), "h": units(F.col("p") * (1 - F.col("p")))})
         long = at.select("kind", "node", "g", "h", F.explode(F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f).cast("int").alias("value")) for f in features))).alias("x"))
         found: dict[tuple[int, int], list[tuple[str, int, float, float]]] = {}
         for r in long.groupBy("kind", "node", "x.feature", "x.value").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect():
-            found.setdefault((int(r.kind), int(r.node)), []).append((r.feature, int(r.value), r.g, r.h))
+            found.setdefault((int(r.kind), int(r.node)), []).append((r.feature, int(r.value), int(r.g) * UNIT, int(r.h) * UNIT))
         return found
 
     for _ in range(rounds if both else 0):

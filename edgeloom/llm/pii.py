@@ -2,16 +2,17 @@
 
 1. Base matchers give the spans of fixed formats: emails, IPv4 addresses, cards that pass Luhn, phone numbers. They always stay.
 2. High-recall generators propose further, overlapping spans of the same kinds.
-3. Boosted trees, one set a kind, score each proposal by its shape and context, but not by what sets the base formats apart (a plus sign); they learn on a
-   bounded sample of documents. A proposal is positive if it holds a base span of its kind, or by evidence that the base formats do not
+3. Boosted trees, one set a kind, score each proposal by its shape and context, but not by what sets the base formats apart (a plus sign); they learn on
+   the whole table. A proposal is positive if it holds a base span of its kind, or by evidence that the base formats do not
    ask for: a named top-level domain, octets in range, a check sum with the range and length of an issuer, the grouping of a telephone number or
-   a word for telephones before it. All other proposals are negatives. Each sampled document has a twin in which what the base formats find is broken (domains
+   a word for telephones before it. All other proposals are negatives. Each document has a twin in which what the base formats find is broken (domains
    without their ends, octets beyond range, swapped digits), so look-alikes are among the negatives wherever a kind occurs. What names the evidence (domain,
    octets, issuer, grouping) is not a feature: trees must find it from counts, values and surroundings.
-4. Thresholds, one a kind, are calibrated on a fifth of the sample to a precision of PRECISION against these labels, over all proposals, base spans and twins included;
+4. A hash of doc_id keeps a fifth of the documents from the trees; thresholds, one a kind, are calibrated on all of this fifth to a precision of PRECISION against these labels, over all proposals, base spans and twins included;
    a kind that cannot reach it, or has no positives or no negatives, adds nothing.
 
-Trees and thresholds become one SQL expression, so a corpus is scored in one map without any shuffle. A null text counts as empty;
+Proposals are folded into their distinct rows with counts, by one aggregate over the whole table, before any tree is grown. Trees and thresholds become one SQL
+expression, so a corpus is scored in one map without any shuffle. A null text counts as empty;
 rows of one doc_id are scored one by one. `find_pii` replaces input columns named like its results (RESULTS), all others pass; `redact`
 passes every column but the text. An empty table gives an empty result.
 """
@@ -28,8 +29,8 @@ from .common import text_of, written
 from .spans import joined, labelled, locate
 
 KINDS = ("email", "ip", "card", "phone")
-#: Documents of the training sample at most (about), and the precision that a threshold must keep.
-SAMPLE, PRECISION = 20_000, 0.98
+#: The precision that a threshold must keep.
+PRECISION = 0.98
 _LOCAL = "[A-Za-z0-9._%+-]"
 #: Possessive forms of the base formats: the same matches in one pass over long runs.
 BASE = {
@@ -162,14 +163,13 @@ def _candidates(docs: DataFrame, labels: bool = False) -> DataFrame:
     return found.drop("__digit", *(f"__wide_{k}" for k in KINDS))
 
 
-def train(docs: DataFrame, sample: int = SAMPLE, precision: float = PRECISION) -> tuple[dict[str, list[boosting.Split | float]], dict[str, float]]:
-    """Trees and the threshold of each kind, from a sample of about `sample` documents, chosen by a hash of doc_id."""
-    share = min(1.0, sample / max(1, docs.count()))
-    pick = docs.select("doc_id", text_of(docs).alias("__text")).filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
-    twins = pick.unionByName(pick.withColumn("__text", _broken(F.col("__text"))))
+def train(docs: DataFrame, precision: float = PRECISION) -> tuple[dict[str, list[boosting.Split | float]], dict[str, float]]:
+    """Trees and the threshold of each kind, from all documents."""
+    whole = docs.select("doc_id", text_of(docs).alias("__text"))
+    twins = whole.unionByName(whole.withColumn("__text", _broken(F.col("__text"))))
     every = _candidates(twins, labels=True).select("doc_id", F.explode(F.concat(*(f"__more_{k}" for k in KINDS))).alias("x")).select("doc_id", "x.*")
     held = (F.pmod(F.xxhash64("doc_id", F.lit("calibration")), F.lit(5)) == 0).cast("int").alias("held")
-    folded = written(every.groupBy("kind", *FEATURES, "label", held).agg(F.count("*").alias("n")).coalesce(1), "candidates")
+    folded = written(every.groupBy("kind", *FEATURES, "label", held).agg(F.count("*").alias("n")), "candidates")
     fitted = boosting.fit(folded.filter("held = 0"), FEATURES, list(range(len(KINDS))))
     score = F.lit(0.0)
     for k in range(len(KINDS)):
@@ -187,10 +187,10 @@ def train(docs: DataFrame, sample: int = SAMPLE, precision: float = PRECISION) -
     return trees, thresholds
 
 
-def find_pii(docs: DataFrame, sample: int = SAMPLE, precision: float = PRECISION, model: tuple[dict[str, list[boosting.Split | float]], dict[str, float]] | None = None) -> DataFrame:
+def find_pii(docs: DataFrame, precision: float = PRECISION, model: tuple[dict[str, list[boosting.Split | float]], dict[str, float]] | None = None) -> DataFrame:
     """docs with n_email, n_ip, n_card, n_phone, `base` and `spans`: arrays of (rank, start, end, kind) by kind and start. A model of `train` may come from other documents."""
     docs = docs.drop(*RESULTS)
-    trees, thresholds = train(docs, sample, precision) if model is None else model
+    trees, thresholds = train(docs, precision) if model is None else model
     found = _candidates(docs.withColumn("__text", text_of(docs)))
 
     def more(rank: int, kind: str) -> Column:

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from edgeloom.llm import boosting
+from edgeloom.llm import boosting, pii
 
 FEATURES = ["a", "b", "c"]
 
@@ -60,3 +60,25 @@ def test_trees_of_all_groups_equal_plain_ones(spark):
         made = folded.filter(F.col("kind") == kind).select(*FEATURES, "label", "n", boosting.margin(trees[kind], F.col).alias("m")).collect()
         wanted = _plain([tuple(r)[:5] for r in made])
         assert [r.m for r in made] == pytest.approx(wanted.tolist(), abs=1e-6)
+
+
+def test_pii_trees_learn_on_every_document(spark, monkeypatch):
+    docs = spark.range(25_000).select(F.col("id").alias("doc_id"), F.format_string("write to a%d@example.com", "id").alias("text"))
+    seen = []
+
+    def fit(folded, features, groups):
+        seen.append(folded.agg(F.sum("n")).first()[0])
+        return {k: [-8.0] for k in groups}
+
+    monkeypatch.setattr(boosting, "fit", fit)
+    pii.train(docs)
+    held = docs.filter(F.pmod(F.xxhash64("doc_id", F.lit("calibration")), F.lit(5)) == 0).count()
+    assert seen == [2 * (25_000 - held)]  # each document and its twin have one address
+
+
+def test_trees_do_not_depend_on_partitions(spark):
+    draw = np.random.default_rng(8)
+    rows = [(0, a, b, c, label, int(draw.integers(1, 9))) for a in range(6) for b in range(6) for c in range(6) for label in (0, 1)]
+    folded = spark.createDataFrame(rows, "kind int, a int, b int, c int, label int, n long")
+    made = [boosting.fit(folded.repartition(k), FEATURES, [0]) for k in (1, 3)]
+    assert made[0] == made[1]
