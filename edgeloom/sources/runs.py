@@ -4,15 +4,27 @@ from __future__ import annotations
 
 import hashlib
 import inspect
-from collections.abc import Callable, Iterable
+import re
+import warnings
+from collections.abc import Callable, Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from urllib.parse import urlparse
 
+import numpy as np
+import pyarrow as pa
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import resumable
 from .readers import checkpoint_or_empty
 
 UNIT = "unit"
+#: Bytes above which a file is hashed range by range.
+RANGE = 64 << 20
+#: Names of files that Spark's readers of text decompress.
+_PACKED = (".gz", ".bz2", ".deflate", ".lz4", ".snappy", ".zst", ".passthrough")
+_MARK = b"\xef\xbb\xbf"  # a byte-order mark, which they drop at the beginning of a file
 
 
 def signature(settings: dict[str, object], inputs: dict[str, DataFrame], code: Iterable[Callable]) -> dict[str, str]:
@@ -62,15 +74,83 @@ def _relative(folder: str):
     return F.substring_index(F.col("path"), urlparse(folder).path.rstrip("/") + "/", -1)
 
 
+def _literal(path: str) -> str:
+    """A path as a glob of itself."""
+    return re.sub(r"([\\{}\[\]*?])", r"\\\1", path)
+
+
+def _continued(state: bytes, size: int, at: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """What hashes one range: rows (line with the newline before it, start of its range) become one row (state, size, at) of the file as far as that."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made, n, last = resumable.Sha256(state), size, at
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            starts = batch.column(1).to_numpy()
+            if starts[0] < last or (np.diff(starts) < 0).any():
+                raise ValueError("ranges of a file came out of order")
+            last = int(starts[-1])
+            lines = batch.column(0).cast(pa.large_binary())  # its offsets have 8 bytes whatever the session sets
+            _, offsets, data = lines.buffers()
+            low, high = np.frombuffer(offsets, np.int64)[[lines.offset, lines.offset + len(lines)]].tolist()
+            made.update(data[low + (n < 0) : high])  # the first line of a file has no newline before it
+            n += high - low
+        yield pa.RecordBatch.from_pydict({"state": pa.array([made.state], pa.binary()), "size": pa.array([n], pa.int64()), "at": pa.array([last], pa.int64())})
+
+    return run
+
+
+def _by_ranges(spark: SparkSession, path: str, length: int, head: bytes = b"") -> str | None:
+    """SHA-256 of a file, or None if Spark's reader changes what it holds. Each range is a job of one task, which begins with the state that the one before it gave back (some 150 bytes).
+
+    Ranges are those of Spark's reader of text: at most spark.sql.files.maxPartitionBytes, and up to the next newline. The order of bytes makes the jobs of a file follow each other.
+    """
+    rows = spark.read.text(_literal(path), lineSep="\n")
+    lines = rows.select(F.concat(F.lit(b"\n"), F.col("value").cast("binary")).alias("line"), F.col("_metadata.file_block_start").alias("start"))
+    state, size, at = resumable.Sha256().update(head).state, -1, 0
+    for k in range(lines.rdd.getNumPartitions()):
+        hashed = lines.mapInArrow(_continued(state, size, at), "state binary, size long, at long").rdd
+        ((state, size, at),) = spark.sparkContext.runJob(hashed, list, [k])
+        state = bytes(state)
+    rest = length - size - len(head)
+    if not head and rest in (len(_MARK), len(_MARK) + 1):
+        return _by_ranges(spark, path, length, _MARK)
+    # a newline at the very end begins no line
+    return resumable.Sha256(state).update(b"\n" * rest).hexdigest() if rest in (0, 1) else None
+
+
+def _hashed(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, length, sha256) of all files below folder. Those over RANGE are hashed now, several at a time, each in a chain of jobs; the others when the table is read, whole.
+
+    A whole file is also read where its name says that it is compressed, where Spark's reader of text changes it, and without OpenSSL: it must fit into a row (2 GB).
+    """
+    reader = spark.read.format("binaryFile")
+    files = reader.option("recursiveFileLookup", "true").load(folder)
+    whole = lambda df: df.select("path", "length", F.sha2("content", 256).alias("sha256"))
+    if resumable.library() is None:
+        return whole(files)
+    large = [(r.path, r.length) for r in files.filter(F.col("length") > RANGE).select("path", "length").collect()]  # names of large files alone
+    made = whole(files.filter(F.col("length") <= RANGE))
+    if not large:
+        return made
+    with warnings.catch_warnings():  # that tags of the session are not handed on
+        warnings.simplefilter("ignore", UserWarning)
+        one = inheritable_thread_target(lambda file: None if file[0].lower().endswith(_PACKED) else _by_ranges(spark, *file))
+    with ThreadPoolExecutor(min(len(large), spark.sparkContext.defaultParallelism)) as pool:
+        found = [(*file, sha) for file, sha in zip(large, pool.map(one, large), strict=True)]
+    made = made.union(spark.createDataFrame([r for r in found if r[2]], "path string, length long, sha256 string"))
+    rest = [_literal(path) for path, _, sha in found if not sha]
+    return made.union(whole(reader.load(rest))) if rest else made
+
+
 def manifest(spark: SparkSession, folder: str, patterns: list[str]) -> DataFrame:
     """(path, bytes, sha256, pattern) of all files below folder; path is relative, pattern the first of the globs that allows it, null if none does.
 
-    Files are read and hashed by the executors; Spark's reader passes over empty files and names that begin with _ or a dot, so a required one counts as missing.
+    Files are read and hashed by the executors, large ones range by range; Spark's reader passes over empty files and names that begin with _ or a dot, so a required one counts as missing.
     In a pattern * stands for any characters but /, ** for any at all.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    name = _relative(folder)
-    listed = files.select(name.alias("path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    listed = _hashed(spark, folder).select(_relative(folder).alias("path"), F.col("length").alias("bytes"), "sha256")
     allowed = None
     for p in patterns:
         regex = "".join(".*" if part == "**" else "[^/]*" if part == "*" else "\\Q" + part + "\\E" for part in _parts(p))
