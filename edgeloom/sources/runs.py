@@ -80,17 +80,17 @@ def _literal(path: str) -> str:
 
 
 def _continued(state: bytes, size: int, at: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """What hashes one range: rows (line with the newline before it, start of its range) become one row (state, size, at) of the file as far as that."""
+    """What hashes one range: rows (line with the newline before it, end of its range) become one row (state, size, at) of the file as far as that."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made, n, last = resumable.Sha256(state), size, at
         for batch in batches:
             if not batch.num_rows:
                 continue
-            starts = batch.column(1).to_numpy()
-            if starts[0] < last or (np.diff(starts) < 0).any():
+            ends = batch.column(1).to_numpy()
+            if ends[0] < last or (np.diff(ends) < 0).any():
                 raise ValueError("ranges of a file came out of order")
-            last = int(starts[-1])
+            last = int(ends[-1])
             lines = batch.column(0).cast(pa.large_binary())  # its offsets have 8 bytes whatever the session sets
             _, offsets, data = lines.buffers()
             low, high = np.frombuffer(offsets, np.int64)[[lines.offset, lines.offset + len(lines)]].tolist()
@@ -102,17 +102,20 @@ def _continued(state: bytes, size: int, at: int) -> Callable[[Iterator[pa.Record
 
 
 def _by_ranges(spark: SparkSession, path: str, length: int, head: bytes = b"") -> str | None:
-    """SHA-256 of a file, or None if Spark's reader changes what it holds. Each range is a job of one task, which begins with the state that the one before it gave back (some 150 bytes).
+    """SHA-256 of a file, or None if Spark's reader changes what it holds or a line has RANGE bytes. Each range is a job of one task, which begins with the state that the one before it gave back (some 150 bytes).
 
     Ranges are those of Spark's reader of text: at most spark.sql.files.maxPartitionBytes, and up to the next newline. The order of bytes makes the jobs of a file follow each other.
     """
-    rows = spark.read.text(_literal(path), lineSep="\n")
-    lines = rows.select(F.concat(F.lit(b"\n"), F.col("value").cast("binary")).alias("line"), F.col("_metadata.file_block_start").alias("start"))
-    state, size, at = resumable.Sha256().update(head).state, -1, 0
+    rows = spark.read.option("mapreduce.input.linerecordreader.line.maxlength", str(RANGE)).text(_literal(path), lineSep="\n")  # the reader passes over longer lines
+    end = F.col("_metadata.file_block_start") + F.col("_metadata.file_block_length")
+    lines = rows.select(F.concat(F.lit(b"\n"), F.col("value").cast("binary")).alias("line"), end.alias("end"))
+    state, size, at, each = resumable.Sha256().update(head).state, -1, 0, 0
     for k in range(lines.rdd.getNumPartitions()):
         hashed = lines.mapInArrow(_continued(state, size, at), "state binary, size long, at long").rdd
         ((state, size, at),) = spark.sparkContext.runJob(hashed, list, [k])
-        state = bytes(state)
+        state, each = bytes(state), each or at
+        if size < 0 or size + len(_MARK) + 1 < min((k + 1) * each, length):
+            return None  # lines so far end before the range does: one was passed over, or the file is unpacked to less
     rest = length - size - len(head)
     if not head and rest in (len(_MARK), len(_MARK) + 1):
         return _by_ranges(spark, path, length, _MARK)
@@ -123,7 +126,7 @@ def _by_ranges(spark: SparkSession, path: str, length: int, head: bytes = b"") -
 def _hashed(spark: SparkSession, folder: str) -> DataFrame:
     """(path, length, sha256) of all files below folder. Those over RANGE are hashed now, several at a time, each in a chain of jobs; the others when the table is read, whole.
 
-    A whole file is also read where its name says that it is compressed, where Spark's reader of text changes it, and without OpenSSL: it must fit into a row (2 GB).
+    A large file is read whole, too, where its name says that it is compressed, where Spark's reader of text changes it (a line of RANGE bytes), and without OpenSSL: it must fit into a row (2 GB).
     """
     reader = spark.read.format("binaryFile")
     files = reader.option("recursiveFileLookup", "true").load(folder)

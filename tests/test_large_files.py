@@ -32,7 +32,7 @@ def test_files_larger_than_a_row(limits, tmp_path):
     noise = random.Random(3).randbytes(100_000)  # noqa: S311
     files = {
         "noise.bin": noise, "ended.bin": noise + b"\n", "ended twice.bin": noise + b"\n\n", "marked.csv": b"\xef\xbb\xbf" + noise.replace(b"\n", b"\r\n"), "marked, ended.csv": b"\xef\xbb\xbf" + noise + b"\n",
-        "a=1/[x]{y} 50%41.bin": b"\n" + noise, "lines.txt": b"\n" * 70_000, "one line.bin": bytes(70_000), "a=1/long line.bin": noise[:30_000] + bytes(50_000) + noise[30_000:], "small.bin": noise[:1000], "a x.bin": noise[:40_000],
+        "a=1/[x]{y} 50%41.bin": b"\n" + noise, "lines.txt": b"\n" * 70_000, "one line.bin": bytes(60_000), "a=1/long line.bin": noise[:30_000] + bytes(25_000) + noise[30_000:], "small.bin": noise[:1000], "a x.bin": noise[:40_000],
     }
     for name, content in files.items():
         (tmp_path / name).parent.mkdir(exist_ok=True)
@@ -49,6 +49,16 @@ def test_names_that_say_compressed_are_read_as_they_lie(limits, tmp_path):
     assert found(limits, tmp_path) == {n: (len(c), hashlib.sha256(c).hexdigest()) for n, c in files.items()}
 
 
+def test_lines_longer_than_a_range_of_rows_are_read_whole(limits, tmp_path):
+    limits.conf.set("spark.sql.sources.binaryFile.maxLength", str(1 << 20))
+    noise = random.Random(6).randbytes(100_000)  # noqa: S311
+    files = {f"{at}.bin": noise[:at] + bytes(60_000) + noise[at:] for at in (0, 20_000, 50_000, 99_990, 100_000)} | {"ended.bin": noise + bytes(60_000) + b"\n"}
+    for name, content in files.items():
+        (tmp_path / name).write_bytes(content)
+    assert found(limits, tmp_path) == {n: (len(c), hashlib.sha256(c).hexdigest()) for n, c in files.items()}
+    assert all(runs._by_ranges(limits, f"file:{tmp_path / n}", len(c)) is None for n, c in files.items())
+
+
 def test_no_task_reads_a_whole_file(limits, tmp_path):
     """A file of 20 ranges or more takes as many jobs, each of the next range alone."""
     lines = b"".join(b"%07d\n" % k for k in range(40_000))
